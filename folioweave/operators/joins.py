@@ -21,7 +21,7 @@ def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, unique: Co
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     met = F.col("_hot_key").isNotNull() | F.col(key).isNull()
     kind = groups.schema[key].dataType
-    out = out.withColumn("_met", met).withColumn("_shuffle_key", F.when(met, F.xxhash64(unique).cast(kind)).otherwise(F.col(key)))
+    out = out.withColumn("_met", met).withColumn("_shuffle_key", F.when(met, F.xxhash64(unique).cast("string").cast(kind)).otherwise(F.col(key)))
     out = out.join(cold, (F.col("_shuffle_key") == F.col("_cold_key")) & (F.col("_met") == F.col("_cold_side")), "left")
     both = F.coalesce(F.col("_hot"), F.col("_cold"))
     return out.select(*rows.columns, *(both.getField(v).alias(v) for v in values))
