@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.llm import exact, survivor, truncation
+from folioweave.llm import exact, neardup, survivor, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(truncation.judged(_table(spark, sf_dir, "papers"), "abstract", "paper_id", "source"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.found(_table(spark, sf_dir, "papers"))
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.document_links(_table(spark, sf_dir, "papers"), "paper_id", ["title", "abstract"], "abstract", 30)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.found(_table(spark, sf_dir, "papers"))
 
@@ -34,7 +42,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p5_found, p5_records, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_links, p5_found, p5_records, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
