@@ -6,9 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioweave.operators import nested
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.organisations(_table(spark, sf_dir, "papers"), _table(spark, sf_dir, "authors"))
+
+
+def p3_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.paper_authors(_table(spark, sf_dir, "papers"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p3_found, p3_authors)}
 
 
 def oracle_sql() -> dict[str, str]:
