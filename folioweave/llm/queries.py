@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.llm import exact, neardup, survivor, truncation
+from folioweave.llm import exact, linkage, neardup, survivor, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,15 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.document_links(_table(spark, sf_dir, "papers"), "paper_id", ["title", "abstract"], "abstract", 30)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.found(_table(spark, sf_dir, "papers"), _table(spark, sf_dir, "import_papers"))
+
+
+def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = linkage.link(_table(spark, sf_dir, "papers"), "paper_id", _table(spark, sf_dir, "import_papers"), "import_id")
+    return links.withColumnsRenamed({"a": "paper_id", "b": "import_id"})
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.found(_table(spark, sf_dir, "papers"))
 
@@ -42,7 +51,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_links, p5_found, p5_records, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_links, p4_found, p4_confidence, p5_found, p5_records, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
