@@ -5,14 +5,14 @@ all words of the two.  The n-th occurrence of a word is an element of its own, w
 bags into sets, so MinHash estimates exactly this ratio.
 
 1. Each text becomes ``rows * bands`` MinHash values in one pass over Arrow batches.
-2. Texts with equal bags get one 128-bit class; only classes are compared.
+2. Texts with equal bags form a class; only classes are compared.
 3. ``rows`` values form a band; classes that agree in a band are candidates.
 4. The values are folded into an odd sketch, a bitmap in which bit h(i, value) is flipped for
    every sample i (Mitzenmacher, Pagh, Pham, 2014).  The XOR of two sketches has a one for
    every odd number of differing samples, so its population count gives the similarity with
-   an error that shrinks as the similarity grows.  Candidates below ``threshold - margin``
-   are dropped.
-5. An exact count of common words settles the rest.
+   an error that shrinks as the similarity grows.  A coarse sketch of 32 bytes drops chance
+   candidates, a fine one of all samples decides the rest but for a margin.
+5. Inside the margin the words themselves are counted.
 
 Cases: NULL fields count as empty; a text with fewer than ``least_words`` words in the field
 that must be long enough is in no pair; texts of any length are used whole; equal texts fall
@@ -23,6 +23,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioweave.session import materialise
 
-ROWS, BANDS, SKETCH_BITS = 9, 64, 1024
+ROWS, BANDS = 9, 64
+COARSE_BITS, COARSE_SAMPLES, FINE_BITS = 256, 128, 1024
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&#?\w{1,8};")
@@ -122,98 +124,126 @@ def odd_similarity(differing: np.ndarray, bits: int, k: int) -> np.ndarray:
     return np.clip(1 + bits / (4 * k) * np.log1p(-share), 0, 1)
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("class_id", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("elements", pa.binary())])
+_SKETCH = pa.schema([("id", pa.int64()), ("class_id", pa.int64()), ("check", pa.int64()), ("bands", pa.list_(pa.int32())), ("coarse", pa.binary()), ("fine", pa.binary())])
 
 
-def sketches(texts: DataFrame, record_id: str, fields: list[str], long_field: str | None, least_words: int, rows: int = ROWS, bands: int = BANDS, bits: int = SKETCH_BITS) -> DataFrame:
-    """(id, class_id, n, bands, sketch, elements) of each text that is long enough.
+def sketches(texts: DataFrame, record_id: str, fields: list[str], long_field: str | None, least_words: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(id, class_id, check, bands, coarse, fine) of each text that is long enough.
 
-    The last three are filled for the first text of a class in each partition only: the map
-    side's share of collapsing a hot class.  ``elements`` are the sorted 32-bit elements.
+    Equal bags share ``class_id`` and ``check``, two independent 64-bit sums.  The last three
+    are filled for the first text of a class in each partition only: the map side's share of
+    collapsing a hot class.
     """
     at = fields.index(long_field) if long_field else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             columns = [batch.column(c + 1).to_pylist() for c in range(len(fields))]
             ids, bags = [], []
             for i, record in zip(batch.column(0).to_pylist(), zip(*columns)):
-                if at is not None and len(words_of(record[at])) < least_words:
-                    continue
-                bag = words_of(*record)
-                if len(bag) >= max(1, least_words):
+                split = [words_of(x) for x in record]
+                bag = [w for words in split for w in words]
+                if len(bag) >= max(1, least_words) and (at is None or len(split[at]) >= least_words):
                     ids.append(i)
                     bags.append(bag)
             if not ids:
                 continue
             elements, starts = _elements(bags, known)
-            sums = np.add.reduceat(elements, starts[:-1]), np.add.reduceat(_mix(elements ^ np.uint64(0xD6E8FEB86659FD93)), starts[:-1])
-            classes = [bytes(x) for x in np.stack(sums, axis=1).astype(">u8").view(np.uint8).reshape(len(ids), 16)]
+            one = np.add.reduceat(elements, starts[:-1]).view(np.int64)
+            two = np.add.reduceat(_mix(elements ^ np.uint64(0xD6E8FEB86659FD93)), starts[:-1]).view(np.int64)
             fresh = []
-            for i, c in enumerate(classes):
+            for i, c in enumerate(zip(one.tolist(), two.tolist())):
                 if c not in seen:
                     seen.add(c)
                     fresh.append(i)
-            keys: list = [None] * len(ids)
-            marks: list = [None] * len(ids)
-            own: list = [None] * len(ids)
+            keys, coarse, fine = ([None] * len(ids) for _ in range(3))
             if fresh:
                 part = np.concatenate([elements[starts[i] : starts[i + 1]] for i in fresh])
                 begin = np.concatenate([[0], np.cumsum([starts[i + 1] - starts[i] for i in fresh])])
                 values = _minhashes(part, begin, rows * bands)
-                packed, keyed = _odd_sketches(values, bits), _bands(values, rows).view(np.int64)
+                keyed, low, high = _bands(values, rows).astype(np.uint32).view(np.int32), _odd_sketches(values[:COARSE_SAMPLES], COARSE_BITS), _odd_sketches(values, FINE_BITS)
                 for j, i in enumerate(fresh):
-                    keys[i], marks[i] = keyed[j], packed[j].tobytes()
-                    own[i] = np.sort(part[begin[j] : begin[j + 1]].astype(np.uint32)).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.binary()), pa.array(np.diff(starts), pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(own, pa.binary())], schema=_SKETCH)
+                    keys[i], coarse[i], fine[i] = keyed[j], low[j].tobytes(), high[j].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one), pa.array(two), pa.array(keys, pa.list_(pa.int32())), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())], schema=_SKETCH)
 
     slim = texts.select(F.col(record_id).cast("long").alias("id"), *fields)
-    return slim.mapInArrow(run, "id long, class_id binary, n int, bands array<long>, sketch binary, elements binary")
+    return slim.mapInArrow(run, "id long, class_id long, check long, bands array<int>, coarse binary, fine binary")
 
 
-def _compare(pairs: DataFrame, bits: int, k: int, least: float, threshold: float) -> DataFrame:
-    """Candidates whose odd sketches and then whose words agree: (a, b, estimate, similarity)."""
+def _estimated(pairs: DataFrame, kind: str, bits: int, k: int, least: float) -> DataFrame:
+    """(a, b, estimate) of the pairs whose odd sketches ``kind``_a and ``kind``_b tell a similarity of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch.to_pydict()
-            if not t["a"]:
+            if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(t[c]), np.uint8).reshape(len(t["a"]), bits // 8) for c in ("sketch_a", "sketch_b"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bits // 8) for c in (2, 3))
             estimate = odd_similarity(np.bitwise_count(x ^ y).sum(axis=1), bits, k)
-            keep, exact = [], []
-            for i in np.flatnonzero(estimate >= least):
-                u, v = (np.frombuffer(t[c][i], np.uint32) for c in ("elements_a", "elements_b"))
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                ratio = common / (len(u) + len(v) - common)
-                if ratio >= threshold:
-                    keep.append(i)
-                    exact.append(ratio)
-            yield pa.RecordBatch.from_arrays([pa.array([t["a"][i] for i in keep], pa.binary()), pa.array([t["b"][i] for i in keep], pa.binary()), pa.array(estimate[keep], pa.float64()), pa.array(exact, pa.float64())], names=["a", "b", "estimate", "similarity"])
+            keep = pa.array(estimate >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(estimate).filter(keep)], names=["a", "b", "estimate"])
 
-    return pairs.mapInArrow(run, "a binary, b binary, estimate double, similarity double")
+    return pairs.select("a", "b", f"{kind}_a", f"{kind}_b").mapInArrow(run, "a long, b long, estimate double")
 
 
-def class_pairs(texts: DataFrame, record_id: str, fields: list[str], long_field: str | None = None, least_words: int = 1, threshold: float = 2 / 3, margin: float = 0.12) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): (id, class_id) of each text, and (a, b, estimate, similarity) of each two similar classes."""
+def _exact(pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) from the words of both sides of each pair, in ``bag_a`` and ``bag_b``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                u, v = Counter(x), Counter(y)
+                common = sum((u & v).values())
+                out.append(common / (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+
+    return pairs.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long, similarity double")
+
+
+def _bags(texts: DataFrame, record_id: str, fields: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c + 1).to_pylist() for c in range(len(fields))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(*r) for r in zip(*columns)], pa.list_(pa.string()))], names=["id", "bag"])
+
+    return texts.select(F.col(record_id).cast("long").alias("id"), *fields).mapInArrow(run, "id long, bag array<string>")
+
+
+def class_pairs(texts: DataFrame, record_id: str, fields: list[str], long_field: str | None = None, least_words: int = 1, threshold: float = 2 / 3, margin: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): (id, class_id, check) of each text, and (a, b, similarity) of each two similar classes.
+
+    ``margin`` is about four standard errors of the fine estimate at the threshold, eight of
+    whose widths the coarse one is allowed.
+    """
     table = materialise(sketches(texts, record_id, fields, long_field, least_words))
-    members = table.select("id", "class_id")
+    members = table.select("id", "class_id", "check")
     shown = table.filter("bands IS NOT NULL")
-    keyed = shown.select(F.explode("bands").alias("band"), "class_id", "n")
+    keyed = shown.select(F.posexplode("bands").alias("at", "key"), "class_id")
+    keyed = keyed.select((F.shiftleft(F.col("at").cast("long"), 32) + F.col("key")).alias("band"), "class_id")
     keyed = keyed.repartition("band").dropDuplicates(["band", "class_id"])
-    other = keyed.select("band", F.col("class_id").alias("b"), F.col("n").alias("m"))
-    close = (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m"))
-    pairs = keyed.withColumnRenamed("class_id", "a").join(other, "band").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    first = shown.select("class_id", "sketch", "elements").dropDuplicates(["class_id"])  # a class may be shown by several partitions
-    side = lambda s: first.select(F.col("class_id").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("elements").alias(f"elements_{s}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return members, _compare(joined, SKETCH_BITS, ROWS * BANDS, threshold - margin, threshold)
+    other = keyed.select("band", F.col("class_id").alias("b"))
+    pairs = keyed.withColumnRenamed("class_id", "a").join(other, "band").filter("a < b").select("a", "b").distinct()
+
+    def side(kind: str, s: str) -> DataFrame:  # a class may be shown by several partitions
+        return shown.select("class_id", kind).dropDuplicates(["class_id"]).select(F.col("class_id").alias(s), F.col(kind).alias(f"{kind}_{s}"))
+
+    likely = _estimated(pairs.join(side("coarse", "a"), "a").join(side("coarse", "b"), "b"), "coarse", COARSE_BITS, COARSE_SAMPLES, threshold - 2 * margin).select("a", "b")
+    near = materialise(_estimated(likely.join(side("fine", "a"), "a").join(side("fine", "b"), "b"), "fine", FINE_BITS, ROWS * BANDS, threshold - margin))
+    sure = near.filter(F.col("estimate") >= threshold + margin).select("a", "b", F.col("estimate").alias("similarity"))
+    # the sketches can't decide the rest: read the words of one text of each such class
+    doubtful = near.filter(F.col("estimate") < threshold + margin).select("a", "b")
+    asked = doubtful.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    first = materialise(members.join(asked, "class_id").groupBy("class_id").agg(F.min("id").alias("id")))
+    bags = materialise(_bags(texts.join(first.select(F.col("id").alias(record_id)), record_id, "left_semi"), record_id, fields).join(first, "id").select("class_id", "bag").dropDuplicates(["class_id"]))
+    bag = lambda s: bags.select(F.col("class_id").alias(s), F.col("bag").alias(f"bag_{s}"))
+    settled = _exact(doubtful.join(bag("a"), "a").join(bag("b"), "b")).filter(F.col("similarity") >= threshold)
+    return members, sure.unionByName(settled)
 
 
 def document_links(texts: DataFrame, record_id: str, fields: list[str], long_field: str | None = None, least_words: int = 1, threshold: float = 2 / 3) -> DataFrame:
-    """(id, class_rep, copies, links): each text with its class of equal bags and the number of similar other classes."""
+    """(id, class_rep, copies, links): each text, the smallest id with its words, their number, and the number of similar other classes."""
     members, pairs = class_pairs(texts, record_id, fields, long_field, least_words, threshold)
     classes = members.groupBy("class_id").agg(F.min("id").alias("class_rep"), F.count("*").alias("copies"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
@@ -226,5 +256,7 @@ def found(papers: DataFrame) -> DataFrame:
     members, pairs = class_pairs(papers, "paper_id", ["title", "abstract"], "abstract", 30)
     left, right = members.select(F.col("class_id").alias("a"), F.col("id").alias("i")), members.select(F.col("class_id").alias("b"), F.col("id").alias("j"))
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select(F.least("i", "j").alias("first_id"), F.greatest("i", "j").alias("second_id"))
-    within = left.join(right, F.col("a") == F.col("b")).filter("i < j").select(F.col("i").alias("first_id"), F.col("j").alias("second_id"))
+    same = (F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))
+    within = members.select(F.col("class_id").alias("a"), F.col("check").alias("c"), F.col("id").alias("i")).join(members.select(F.col("class_id").alias("b"), F.col("check").alias("d"), F.col("id").alias("j")), same)
+    within = within.filter("i < j").select(F.col("i").alias("first_id"), F.col("j").alias("second_id"))
     return across.unionByName(within)
