@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioweave.session import materialise
 
-ROWS, BANDS = 9, 64
+ROWS, BANDS = 10, 72
 COARSE_BITS, COARSE_SAMPLES, FINE_BITS = 256, 128, 1024
 
 _WORD = re.compile(r"[^\W_]+")
@@ -214,8 +214,8 @@ def _bags(texts: DataFrame, record_id: str, fields: list[str]) -> DataFrame:
 def class_pairs(texts: DataFrame, record_id: str, fields: list[str], long_field: str | None = None, least_words: int = 1, threshold: float = 2 / 3, margin: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): (id, class_id, check) of each text, and (a, b, similarity) of each two similar classes.
 
-    ``margin`` is about four standard errors of the fine estimate at the threshold, eight of
-    whose widths the coarse one is allowed.
+    ``margin`` is about four standard errors of the fine estimate at the threshold; the
+    coarse one is allowed twice as much.
     """
     table = materialise(sketches(texts, record_id, fields, long_field, least_words))
     members = table.select("id", "class_id", "check")
@@ -224,7 +224,8 @@ def class_pairs(texts: DataFrame, record_id: str, fields: list[str], long_field:
     keyed = keyed.select((F.shiftleft(F.col("at").cast("long"), 32) + F.col("key")).alias("band"), "class_id")
     keyed = keyed.repartition("band").dropDuplicates(["band", "class_id"])
     other = keyed.select("band", F.col("class_id").alias("b"))
-    pairs = keyed.withColumnRenamed("class_id", "a").join(other, "band").filter("a < b").select("a", "b").distinct()
+    pairs = keyed.withColumnRenamed("class_id", "a").join(other, "band").filter("a < b").select("a", "b")
+    pairs = pairs.repartition("a").dropDuplicates(["a", "b"])  # lies as the join with the sketches needs it
 
     def side(kind: str, s: str) -> DataFrame:  # a class may be shown by several partitions
         return shown.select("class_id", kind).dropDuplicates(["class_id"]).select(F.col("class_id").alias(s), F.col(kind).alias(f"{kind}_{s}"))
