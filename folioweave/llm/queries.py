@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioweave.llm import exact, linkage, neardup, survivor, truncation
+from folioweave.llm import exact, languages, linkage, names, neardup, packing, survivor, tokens, truncation
+from folioweave.session import materialise
+
+CAPACITY = 2048
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +53,39 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.found(_table(spark, sf_dir, "papers"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.found(_table(spark, sf_dir, "papers"), _table(spark, sf_dir, "authors"), _table(spark, sf_dir, "institutions"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(_table(spark, sf_dir, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document decoded from its ids, and whether the text came back."""
+    documents = _table(spark, sf_dir, "documents")
+    back = tokens.decode(materialise(tokens.encode(documents))).withColumnRenamed("text", "decoded")
+    return documents.select("doc_id", "text").join(back, "doc_id").select("doc_id", F.length("decoded").cast("long").alias("n_chars"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.encode(_table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").alias("n"))
+    packed = packing.pack(sizes, "doc_id", "n", CAPACITY)
+    return packed.withColumnsRenamed({"item": "doc_id", "length": "n_tokens"})
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.found(_table(spark, sf_dir, "documents"))
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = languages.detect(_table(spark, sf_dir, "documents"))
+    return told.select("doc_id", "line_no", "lang", F.round("confidence", 6).alias("confidence"), "mixed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_links, p4_found, p4_confidence, p5_found, p5_records, p6_found)}
+    fs = (p1_found, p1_rates, p2_found, p2_links, p4_found, p4_confidence, p5_found, p5_records, p6_found, p7_found, p8_ids, p8_roundtrip, p9_containers, p10_found, p10_languages)
+    return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
