@@ -2,12 +2,13 @@
 
 An item of class j has a length in (capacity / (j + 1), capacity / j], so j items of the
 class always fit one container and j + 1 never do.  Each class fills its own containers with
-j items each, and each worker its own, so nothing but counts is exchanged.  The space that
-containers of long items (classes below ``small``) leave is offered to a worker's short ones
-first: spaces and short items are laid end to end along one line, and an item that lies
-within one space goes there.  Items of the last class, of at most ``capacity / classes``, are
-laid end to end and cut where the next might not fit.  An item longer than the capacity fills whole containers; what is left of it is an
-item like any other.
+j items each, and each worker its own, so nothing but counts is exchanged.  Classes are taken
+in groups of falling length, 1, 2 to 3, 4 to 7 and so on.  The space that the containers so
+far have left is offered to a group before it opens its own: spaces and items are laid end to
+end along one line per worker, and an item that lies within one space goes there.  Items of
+the last class, of at most ``capacity / classes``, are laid end to end and cut where the next
+might not fit.  An item longer than the capacity fills whole containers; what is left of it is
+an item like any other.
 
 Cases: a NULL length counts as 0, and an item of length 0 gets a container, with other small
 items; negative lengths are an error; ties and repeated rows each get a place; an empty table
@@ -21,49 +22,72 @@ from pyspark.sql import DataFrame, Window, functions as F
 from folioweave.session import materialise
 
 
-def pack(items: DataFrame, item_id: str, length: str, capacity: int = 2048, classes: int = 64, small: int = 12, share: int = 200_000) -> DataFrame:
+def pack(items: DataFrame, item_id: str, length: str, capacity: int = 2048, classes: int = 64, share: int = 200_000, turns: int = 4) -> DataFrame:
     """(item, part, length, container): a container number for each item, or each part of one longer than ``capacity``.
 
-    ``share`` is the number of items a worker fills containers with on its own.
+    ``share`` is about the number of items a worker fills containers with on its own, ``turns`` how
+    often a group is offered the space that is left.
     """
     if capacity < 1 or classes < 2:
         raise ValueError("capacity must be positive and classes at least 2")
     sized = items.select(F.col(item_id).alias("item"), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("length"))
     full = F.floor(F.col("length") / capacity).cast("int")
     rest = F.col("length") - full * capacity
-    whole = F.when(full > 0, F.transform(F.sequence(F.lit(0), full - 1), lambda i: F.struct(i.alias("part"), F.lit(capacity).cast("long").alias("length")))).otherwise(F.array().cast("array<struct<part:int,length:bigint>>"))
-    left = F.when((full == 0) | (rest > 0), F.array(F.struct(full.alias("part"), rest.alias("length")))).otherwise(F.array().cast("array<struct<part:int,length:bigint>>"))
-    parts = materialise(sized.filter(F.when(F.col("length") < 0, F.raise_error(F.lit("negative length"))).otherwise(True)).select("item", F.inline(F.concat(whole, left))))
+    none = F.array().cast("array<struct<part:int,length:bigint>>")
+    whole = F.when(full > 0, F.transform(F.sequence(F.lit(0), full - 1), lambda i: F.struct(i.alias("part"), F.lit(capacity).cast("long").alias("length")))).otherwise(none)
+    left = F.when((full == 0) | (rest > 0), F.array(F.struct(full.alias("part"), rest.alias("length")))).otherwise(none)
+    checked = sized.filter(F.when(F.col("length") < 0, F.raise_error(F.lit("negative length"))).otherwise(True))
+    parts = materialise(checked.select("item", F.inline(F.concat(whole, left))))
     workers = max(1, -(-parts.count() // share))
     kind = F.when(F.col("length") * classes <= capacity, classes).otherwise(F.floor(capacity / F.greatest("length", F.lit(1)))).cast("int")
-    placed = parts.select("item", "part", "length", kind.alias("kind"), F.pmod(F.xxhash64("item", "part"), F.lit(workers)).alias("worker"))
+    sorted_out = parts.select("item", "part", "length", kind.alias("kind"), F.pmod(F.xxhash64("item", "part"), F.lit(workers)).alias("worker"))
+
+    columns = ("item", "part", "length", "kind", "worker", "own")
+    placed = None
+    low = 1
+    while low <= classes:
+        group = sorted_out.filter(F.col("kind").between(low, min(2 * low, classes + 1) - 1))
+        if placed is None:
+            placed = _harmonic(group, capacity, classes)
+        else:
+            group = group.select("worker", "item", "part", "length", "kind")
+            for turn in range(turns):
+                line = materialise(_offered(placed, group, capacity, low, turn))
+                guests = line.filter("home IS NOT NULL").select("item", "part", "length", F.col("home.kind").alias("kind"), "worker", F.col("home.own").alias("own"))
+                placed = placed.unionByName(guests)
+                group = line.filter("home IS NULL").drop("home")
+            placed = placed.unionByName(_harmonic(group, capacity, classes).select(*columns))
+        placed = materialise(placed.select(*columns))
+        low *= 2
+    # containers are numbered through: a row for each class and worker is all that meets
+    counts = placed.groupBy("kind", "worker").agg((F.max("own") + 1).alias("n"))
+    first = counts.select("kind", "worker", (F.sum("n").over(Window.orderBy("kind", "worker")) - F.col("n")).alias("first"))
+    return placed.join(F.broadcast(first), ["kind", "worker"]).select("item", "part", "length", (F.col("first") + F.col("own")).alias("container"))
+
+
+def _harmonic(d: DataFrame, capacity: int, classes: int) -> DataFrame:
+    """With ``own``, the number of the container within class and worker: a fixed count of items in each."""
     order = Window.partitionBy("kind", "worker").orderBy("item", "part", "length")
+    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    usable = max(1, capacity - capacity // classes)
+    own = F.when(F.col("kind") == classes, F.floor(before / usable)).otherwise(F.floor((F.row_number().over(order) - 1) / F.col("kind")))
+    return d.withColumn("own", own.cast("long"))
 
-    def harmonic(d: DataFrame) -> DataFrame:
-        before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        usable = max(1, capacity - capacity // classes)
-        own = F.when(F.col("kind") == classes, F.floor(before / usable)).otherwise(F.floor((F.row_number().over(order) - 1) / F.col("kind")))
-        return d.withColumn("own", own.cast("long"))
 
-    large = materialise(harmonic(placed.filter(F.col("kind") < small)))
-    short = placed.filter(F.col("kind") >= small)
-    # spaces and short items along one line per worker
-    spaces = large.groupBy("worker", "kind", "own").agg((capacity - F.sum("length")).alias("space")).filter(F.col("space") >= capacity // small)
-    along = Window.partitionBy("worker").orderBy(F.xxhash64("kind", "own"), "kind", "own").rowsBetween(Window.unboundedPreceding, -1)
-    spaces = spaces.select("worker", F.coalesce(F.sum("space").over(along), F.lit(0)).alias("at"), F.lit(0).alias("what"), F.struct("kind", "own", "space").alias("home"), *(F.lit(None).cast(t).alias(c) for c, t in (("item", short.schema["item"].dataType), ("part", "int"), ("length", "long"), ("of", "int"))))
-    behind = Window.partitionBy("worker").orderBy(F.xxhash64("item", "part"), "item", "part", "length").rowsBetween(Window.unboundedPreceding, -1)
-    line = short.select("worker", F.coalesce(F.sum("length").over(behind), F.lit(0)).alias("at"), F.lit(1).alias("what"), F.lit(None).cast(spaces.schema["home"].dataType).alias("home"), "item", "part", "length", F.col("kind").alias("of"))
+def _offered(placed: DataFrame, group: DataFrame, capacity: int, low: int, turn: int) -> DataFrame:
+    """Items of ``group`` with ``home``, the container of ``placed`` whose space they lie in; NULL for none."""
+    spaces = placed.groupBy("worker", "kind", "own").agg((capacity - F.sum("length")).alias("space")).filter(F.col("space") >= capacity // (2 * low))
+    before = lambda *o: Window.partitionBy("worker").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda c, *o: F.coalesce(F.sum(c).over(before(*o)), F.lit(0)).alias("at")
+    mixed = F.xxhash64("kind", "own", F.lit(turn)), F.col("kind"), F.col("own")
+    empty = [F.lit(None).cast(group.schema[c].dataType).alias(c) for c in ("item", "part", "length", "kind")]
+    spaces = spaces.select("worker", at("space", *mixed), F.lit(0).alias("what"), F.struct("kind", "own", "space").alias("home")).select("*", *empty)
+    mixed = F.xxhash64("item", "part", F.lit(turn)), F.col("item"), F.col("part"), F.col("length")
+    line = group.select("worker", at("length", *mixed), F.lit(1).alias("what"), F.lit(None).cast(spaces.schema["home"].dataType).alias("home"), "item", "part", "length", "kind")
     along = Window.partitionBy("worker").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line = spaces.unionByName(line).withColumn("home", F.last("home", True).over(along)).withColumn("begin", F.max(F.when(F.col("what") == 0, F.col("at"))).over(along)).filter("what = 1")
     fits = F.coalesce(F.col("at") + F.col("length") <= F.col("begin") + F.col("home.space"), F.lit(False))
-    line = materialise(line.select("worker", "item", "part", "length", "of", F.when(fits, F.col("home")).alias("home")))
-    guests = line.filter("home IS NOT NULL").select("item", "part", "length", F.col("home.kind").alias("kind"), "worker", F.col("home.own").alias("own"))
-    others = harmonic(line.filter("home IS NULL").select("item", "part", "length", F.col("of").alias("kind"), "worker"))
-    placed = large.unionByName(guests).unionByName(others)
-    # containers are numbered through: a row for each class and worker is all that meets
-    counts = large.unionByName(others).groupBy("kind", "worker").agg((F.max("own") + 1).alias("n"))
-    first = counts.select("kind", "worker", (F.sum("n").over(Window.orderBy("kind", "worker")) - F.col("n")).alias("first"))
-    return placed.join(F.broadcast(first), ["kind", "worker"]).select("item", "part", "length", (F.col("first") + F.col("own")).alias("container"))
+    return line.select("worker", "item", "part", "length", "kind", F.when(fits, F.col("home")).alias("home"))
 
 
 def filling(packed: DataFrame, capacity: int = 2048) -> DataFrame:
