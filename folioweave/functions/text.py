@@ -6,7 +6,7 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Hosts that resolve a DOI.
 RESOLVERS = ("doi.org", "dx.doi.org")
@@ -43,12 +43,12 @@ def truncate(text: Column, length: int, suffix: str = "...") -> Column:
     return F.when(F.length(text) <= length, text).otherwise(F.concat(F.left(text, F.lit(max(0, length - len(suffix)))), F.lit(suffix)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
 
