@@ -15,7 +15,7 @@ def edge_set(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     if nodes is not None:
         n = nodes.select("paper_id")
         e = e.join(n.withColumnRenamed("paper_id", "citing_id"), "citing_id", "left_semi").join(n.withColumnRenamed("paper_id", "cited_id"), "cited_id", "left_semi")
-    return e
+    return e.select("citing_id", "cited_id")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -35,6 +35,9 @@ _KIND = np.full(256, 3, np.uint8)
 _KIND[list(b" \t\r\n")] = 0
 _KIND[list(b"{}[]:,")] = 1
 _KIND[_QUOTE] = 2
+_ESCAPED, _HEX = np.zeros(256, bool), np.zeros(256, bool)
+_ESCAPED[list(b'"\\/bfnrt')] = True
+_HEX[list(b"0123456789abcdefABCDEF")] = True
 _STEP = np.zeros(256, np.int8)
 _STEP[list(_OPEN)] = 1
 _STEP[list(_CLOSE)] = -1
@@ -56,7 +59,7 @@ def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def _hash_key(key: str) -> np.uint64:
-    raw = np.frombuffer(key.encode(), np.uint8)
+    raw = np.frombuffer(key.encode("utf-8", "surrogatepass"), np.uint8)
     return _hash_spans(raw, np.array([0]), np.array([len(raw)]))[0]
 
 
@@ -104,6 +107,15 @@ def index(data: np.ndarray, offsets: np.ndarray) -> Index:
         after = slash[np.flatnonzero(new)] + size
         after = after[(size % 2 == 1) & (after < len(data))]
         quote[after] = False
+        # what an escape may stand before: one of a few marks, or u and four hexadecimal digits
+        follows = np.zeros((len(after), 5), np.uint8)
+        for i in range(5):
+            there = after + i < len(data)
+            follows[there, i] = data[after[there] + i]
+        fine = _ESCAPED[follows[:, 0]] | ((follows[:, 0] == ord("u")) & _HEX[follows[:, 1:]].all(axis=1))
+        false_escape = after[~fine]
+    else:
+        false_escape = slash
     # string parity, restarted at each record
     parity = np.bitwise_xor.accumulate(quote.view(np.uint8)) if len(data) else quote.view(np.uint8)
     base = np.zeros(n, np.uint8)
@@ -122,7 +134,7 @@ def index(data: np.ndarray, offsets: np.ndarray) -> Index:
     begin[1:] &= ~plain[:-1]
     starts = offsets[:-1][some]
     begin[starts] = plain[starts]
-    control = np.flatnonzero(inside & (data < 32))
+    control = np.concatenate([np.flatnonzero(inside & (data < 32)), false_escape])
     token = np.flatnonzero((outside & (kind == 1)) | (quote & inside) | begin)
     bounds = np.searchsorted(token, offsets)
     record = np.repeat(np.arange(n), np.diff(bounds))
@@ -227,6 +239,9 @@ def index(data: np.ndarray, offsets: np.ndarray) -> Index:
     key = np.zeros(len(nodes), np.uint64)
     k = nodes[keyed] - 2
     key[keyed] = _hash_spans(data, start[k], end[k])
+    escaped = np.flatnonzero(np.searchsorted(slash, end[k]) > np.searchsorted(slash, start[k])) if len(slash) else []
+    for i, a, b in zip(escaped, start[k][escaped].tolist(), end[k][escaped].tolist()):
+        key[np.flatnonzero(keyed)[i]] = _hash_key(json.loads(b'"' + data[a:b].tobytes() + b'"')) if b > a else 0
     path = np.ones(len(nodes), np.uint64)
     levels = level[nodes]
     for d in range(1, int(levels.max()) + 1 if len(nodes) else 0):

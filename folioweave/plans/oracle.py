@@ -85,7 +85,7 @@ def _pagerank(rounds: int, dangling: bool) -> str:
         lost = f"coalesce((SELECT sum(score) FROM r{i - 1} JOIN d USING (paper_id) WHERE out_degree = 0), 0)" if dangling else "0.0"
         ctes.append(f"g{i} AS (SELECT cited_id AS paper_id, sum(score / out_degree) AS got FROM e JOIN r{i - 1} r ON r.paper_id = e.citing_id JOIN d ON d.paper_id = e.citing_id GROUP BY 1)")
         ctes.append(f"r{i} AS MATERIALIZED (SELECT paper_id, 0.15 / (SELECT n FROM n) + 0.85 * (coalesce(got, 0) + {lost} / (SELECT n FROM n)) AS score FROM papers LEFT JOIN g{i} USING (paper_id))")
-    return "WITH " + ", ".join(ctes) + f" SELECT paper_id, round(score, 12) AS score FROM r{rounds}"
+    return "WITH " + ", ".join(ctes) + f" SELECT paper_id, round(ln(score), 9) AS log_score FROM r{rounds}"
 
 
 def statements() -> dict[str, str]:
@@ -113,7 +113,7 @@ def statements() -> dict[str, str]:
         "interleave_round_robin": f"SELECT paper_id, source, row_number() OVER (ORDER BY rn, list_position({list(sources)!r}, source)) AS place FROM (SELECT paper_id, source, row_number() OVER (PARTITION BY source ORDER BY paper_id) AS rn FROM papers WHERE source IN {sources!r})",
         "source_counts": "SELECT source, count(*) AS papers FROM (SELECT unnest(regexp_split_to_array(source, '\\s*,\\s*')) AS source FROM papers) GROUP BY 1",
         "distinct_authors": "SELECT name, min(paper_id) AS first_ord FROM (SELECT paper_id, unnest(authors) AS name FROM papers) WHERE contains(lower(name), 'wanda') GROUP BY 1",
-        "author_papers": "SELECT paper_id, citations_count FROM papers WHERE list_contains(authors, 'Wanda Mithazubam')",
+        "author_papers": "SELECT paper_id, citations_count FROM papers WHERE list_contains(authors, 'Aiko Zovipibran')",
         "author_search": "SELECT author_id, name FROM authors WHERE contains(lower(name), 'wanda') AND length(orcid) > 0",
         "institution_search": "SELECT institution_id, name FROM institutions WHERE country = 'MX' AND type = 'healthcare'",
         "journal_works": "SELECT journal_id, count(*) AS works, sum(coalesce(citations_count, 0))::BIGINT AS citations FROM papers p JOIN journals j ON p.journal = j.title GROUP BY 1",
