@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioweave.session import materialise
 
-ROWS, BANDS = 10, 72
+ROWS, BANDS = 10, 84
 COARSE_BITS, COARSE_SAMPLES, FINE_BITS = 256, 128, 1024
 
 _WORD = re.compile(r"[^\W_]+")
