@@ -1,9 +1,8 @@
 """Texts cut off by field limits: final word trigrams against the same trigrams inside texts, in Spark SQL.
 
 Every text is reduced to words with sentence ends kept as a mark.  For each trigram of the
-corpus two counts are taken over all texts: inside a
-sentence and before a sentence end.  A text that ends without a
-sentence end is cut if its last trigram is frequent inside sentences but almost never
+corpus two counts are taken over all texts: inside a sentence and before a sentence end.  A
+text that ends without a sentence end is cut if its last trigram is frequent inside sentences but almost never
 terminal; an unseen trigram is judged by its last two words, an unseen pair by its last word,
 and a last word that the corpus does not know as a word is a word cut short.  Notes behind
 the text (rights, key words, class numbers, links) are taken off first.
@@ -27,6 +26,8 @@ from folioweave.session import materialise
 _REMARK = "cut|truncated|shortened|abridged|continued|continues|read more|see more|more"
 _TAIL_NOTE = r"(?i)(\s*(©[^.]{0,80}|\(c\) [^.]{0,80}|keywords:[^.]{0,300}|msc:[^.]{0,120}|pacs [0-9. ,a-z+-]{1,60}|code: \S+|registered as \S+)\.?)+$"
 
+_NOTE = 500
+
 
 def _clean(text: Column) -> Column:
     """Markup and quotes around the whole text removed, entities replaced."""
@@ -38,7 +39,7 @@ def _visible_cut(clean: Column) -> Column:
     """Why a text is cut, as far as its own characters say it; NULL if they do not."""
     tail = F.right(clean, F.lit(160))
     return (
-        F.when(clean.rlike(r"(?:…|\.\.\.)[\s\"”]*$"), "ellipsis")
+        F.when(tail.rlike(r"(?:…|\.\.\.)[\s\"”]*$"), "ellipsis")
         .when(clean.rlike(r"^(?:…|\.\.\.)"), "ellipsis")
         .when(F.right(clean, F.lit(60)).rlike(rf"(?i)(?:…|\.\.\.|[\[(<])[^.\[(<]{{0,40}}\b(?:{_REMARK})\b[^.\])>]{{0,30}}[\])>]?$"), "remark")
         .when(tail.rlike("�+$"), "character")
@@ -52,8 +53,9 @@ def _visible_cut(clean: Column) -> Column:
 def _words(clean: Column) -> Column:
     """Lower-case words with | for a sentence end and # for whatever has a digit; bracketed remarks and addresses left out."""
     t = F.lower(clean)
-    t = F.regexp_replace(t, r"\s*[(\[][^()\[\]]{0,200}[)\]]|https?://\S+", "")
-    t = F.regexp_replace(t, r"[\p{L}-]*\d[\p{L}\d]*(?:[.,:/-][\p{L}\d]+)*", "#")
+    t = F.regexp_replace(t, r"[(\[][^()\[\]]{0,200}[)\]]|https?://\S+", "")
+    t = F.regexp_replace(t, r"\s+(?=[.!?])", "")
+    t = F.regexp_replace(t, r"(?<![\p{L}-])[\p{L}-]*+\d[\p{L}\d]*+(?:[.,:/-][\p{L}\d]++)*+", "#")
     t = F.regexp_replace(t, r"[.!?]+(?=\s|$)", " | ")
     return F.split(F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}#|]+", " ")), " ")
 
@@ -68,9 +70,11 @@ def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words
     """
     base = texts.select(F.col(record_id).alias("id"), F.col(source).alias("source"), F.length(text).alias("len"), _clean(F.col(text)).alias("c"))
     base = base.filter(F.col("c").isNotNull() & (F.size(F.split("c", r"\s+", least_words)) >= least_words))
-    stopped = F.col("c").rlike(r"[.!?][\"'’”»)\]]*$")
-    head = base.select("id", "source", "len", stopped.alias("stopped"), _visible_cut(F.col("c")).alias("seen"), F.regexp_replace("c", _TAIL_NOTE, "").alias("body"))
-    complete = F.col("body").rlike(r"[.!?)\]][\"'’”»)\]]*$")
+    stopped = F.right("c", F.lit(20)).rlike(r"[.!?][\"'’”»)\]]*$")
+    size = F.length("c")
+    body = F.concat(F.left("c", size - _NOTE), F.regexp_replace(F.right("c", F.lit(_NOTE)), _TAIL_NOTE, ""))  # only the end can be a note
+    head = base.select("id", "source", "len", stopped.alias("stopped"), _visible_cut(F.col("c")).alias("seen"), body.alias("body"))
+    complete = F.right("body", F.lit(20)).rlike(r"[.!?)\]][\"'’”»)\]]*$")
     head = head.select("id", "source", "len", "stopped", "seen", complete.alias("complete"), F.array_join(_words(F.col("body")), " ").alias("s"))
     head = materialise(head)
     w = head.withColumn("w", F.split("s", " "))
