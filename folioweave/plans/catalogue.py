@@ -10,7 +10,7 @@ from folioweave.functions import cite, score, text, urls
 from folioweave.operators import documents as docs, graph, nested, resolve, search
 from folioweave.operators.ranking import row_numbers
 from folioweave.plans import oracle
-from folioweave.sources import records
+from folioweave.sources import people, records
 from folioweave.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,6 +379,11 @@ def parse_records(spark, sf_dir):
     return out.withColumn("authors", F.array_join("authors", "|")).withColumn("keywords", F.array_join("keywords", "|"))
 
 
+@_query
+def parse_authors(spark, sf_dir):
+    return people.parse_authors(_table(spark, sf_dir, "authors")).withColumn("affiliations", F.array_join("affiliations", "|"))
+
+
 @_query
 def concept_scores(spark, sf_dir):
     return records.concepts(_table(spark, sf_dir, "papers"))
