@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from folioweave.session import materialise
 
 ROWS, BANDS = 10, 84
-COARSE_BITS, COARSE_SAMPLES, FINE_BITS = 256, 128, 1024
+COARSE_BITS, COARSE_SAMPLES, FINE_BITS = 256, 128, 2048
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&#?\w{1,8};")
