@@ -40,7 +40,7 @@ def doi_key(doi: Column) -> Column:
     Resolver addresses, ``doi:`` prefixes, percent escapes of the slash, blanks and closing
     punctuation are notation; what follows ``10.`` and the registrant is the name.
     """
-    low = F.replace(F.lower(canonical_characters(doi)), F.lit("%2f"), F.lit("/"))
+    low = F.replace(F.lower(F.translate(doi, _WIDE, _PLAIN)), F.lit("%2f"), F.lit("/"))
     return F.nullif(F.regexp_extract(low, r"(10\.[0-9]{3,9}(?:\.[0-9]+)*/[^\s]*[^\s.,;:)\]}>\"'])", 1), F.lit(""))
 
 

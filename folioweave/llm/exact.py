@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioweave.llm.canon import doi_key, fingerprint, title_key
 from folioweave.operators.joins import skew_safe_left_join
+from folioweave.session import materialise
 
 
 def keyed(papers: DataFrame, record_id: str = "paper_id") -> DataFrame:
@@ -38,8 +39,8 @@ def pair_counts(keys: DataFrame) -> DataFrame:
 
 def copy_sets(papers: DataFrame, record_id: str = "paper_id") -> tuple[DataFrame, DataFrame]:
     """(keys, sets): the fingerprints of each record, and for each (title, DOI) its set: ``set_id`` is the smallest id, ``set_size`` the copies."""
-    keys = keyed(papers, record_id)
-    pairs = pair_counts(keys)
+    keys = materialise(keyed(papers, record_id))
+    pairs = materialise(pair_counts(keys))
     titles = pairs.groupBy("title_hash").agg(F.min("doi_hash").alias("lo"), F.max("doi_hash").alias("hi"))
     one = F.col("lo") == F.col("hi")
     joined = pairs.join(titles, "title_hash")

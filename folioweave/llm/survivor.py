@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioweave.llm import exact, truncation
 from folioweave.llm.canon import doi_key
+from folioweave.session import materialise
 
 # Phrases that stand where an abstract is missing.
 FILLERS = ("n/a", "null", "none", "-", "no abstract available", "abstract not available", "see pdf", "not provided", "no abstract", "not available")
@@ -76,8 +77,8 @@ def found(papers: DataFrame) -> DataFrame:
     The two ids are votes for the record itself, so that the newest eligible record wins;
     the DOI is voted on by all copies; the sources are a union.
     """
-    sets = exact.members(papers)
-    verdicts = truncation.judged(papers, "abstract", "paper_id", "source").select("id", F.col("reason").isNotNull().alias("cut"))
+    sets = materialise(exact.members(papers))
+    verdicts = materialise(truncation.judged(papers, "abstract", "paper_id", "source").filter("reason IS NOT NULL").select("id", F.lit(True).alias("cut")))
     counted = F.col("citations_count") >= 0
     slim = papers.select(F.col("paper_id").alias("id"), "source", "fetched_at", doi_key(F.col("doi")).alias("doi_bare"), (~is_filler(F.col("abstract"))).alias("genuine"), F.coalesce(counted, F.lit(False)).alias("counted"))
     copies = sets.join(slim, "id").join(verdicts, "id", "left")
