@@ -47,15 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, SparkSession] = {}
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table that was written.
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, a folder for each value of column ``by`` if given, and return the table that was written.
 
     Cuts the lineage; unlike a cache it survives the loss of executors, and unlike
     ``checkpoint()`` it is columnar, so later reads are pruned and have true sizes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioweave-tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     if not _written:
         atexit.register(drop_materialised)
     _written[path] = spark

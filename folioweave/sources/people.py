@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioweave.functions.score import institution_type
-from folioweave.sources.records import _at, _int, _list, _names, _text, _unwrapped
+from folioweave.sources.records import _at, _int, _list, _names, _text, readable
+from folioweave.session import materialise
 
 AUTHOR = ("name", "source_id", "affiliations", "orcid", "url", "paper_count", "citation_count", "h_index")
 _AUTHOR_TYPES = {"affiliations": "array<string>", "paper_count": "bigint", "citation_count": "bigint", "h_index": "int"}
@@ -57,8 +58,8 @@ AUTHORS: dict[str, Callable[[], dict[str, Column]]] = {"openalex": _openalex, "s
 
 
 def parse_authors(landing: DataFrame, record_id: str = "author_id", payload: str = "raw_data") -> DataFrame:
-    """(record_id, source, the author columns) of every readable payload with a name."""
-    base = landing.filter(F.col("source").isin(*AUTHORS)).select(F.col(record_id), "source", _unwrapped(F.col(payload)).alias("p")).filter(F.expr("try_parse_json(p)").isNotNull())
+    """(record_id, source, the author columns) of every readable payload with a name; each parser reads its own source only."""
+    base = materialise(readable(landing, record_id, payload).filter(F.col("source").isin(*AUTHORS)), by="source")
     out = None
     for source, fields in AUTHORS.items():
         f = fields()
@@ -70,7 +71,7 @@ def parse_authors(landing: DataFrame, record_id: str = "author_id", payload: str
 
 def parse_institutions(landing: DataFrame, record_id: str, payload: str = "raw_data") -> DataFrame:
     """(record_id, name, source_id, country, type, url, paper_count, citation_count) of payloads of either known shape."""
-    rows = landing.select(F.col(record_id), _unwrapped(F.col(payload)).alias("p")).filter(F.expr("try_parse_json(p)").isNotNull())
+    rows = readable(landing.withColumn("source", F.lit("")), record_id, payload)
     scopus = lambda key: F.get_json_object("p", f"$['{key}']")
     name = F.coalesce(_text("display_name"), scopus("affiliation-name"))
     return rows.select(

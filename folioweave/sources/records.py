@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioweave.functions.text import truthy, year_of
 from folioweave.operators.documents import inverted_text
+from folioweave.session import materialise
 
 COLUMNS = ("title", "authors", "abstract", "doi", "year", "journal", "url", "pdf_url", "citations_count", "references_count", "open_access", "keywords")
 
@@ -146,20 +147,33 @@ def reader(source: str) -> Callable[[], dict[str, Column]]:
     return PARSERS[source]
 
 
-def parse(landing: DataFrame, source: str, record_id: str = "paper_id", payload: str = "raw_data") -> DataFrame:
-    """(record_id, source, the canonical columns) of one source's payloads."""
-    rows = landing.filter(F.split("source", r"\s*,\s*")[0] == source).select(F.col(record_id), _unwrapped(F.col(payload)).alias("p")).filter(F.expr("try_parse_json(p)").isNotNull())
+def readable(landing: DataFrame, record_id: str, payload: str) -> DataFrame:
+    """(record_id, source, p): payloads that are JSON, unwrapped, under the first of their sources."""
+    rows = landing.select(F.col(record_id), F.trim(F.split("source", ",")[0]).alias("source"), _unwrapped(F.col(payload)).alias("p"))
+    return rows.filter(F.expr("try_parse_json(p)").isNotNull())
+
+
+def _parsed(rows: DataFrame, source: str, record_id: str) -> DataFrame:
     fields = reader(source)()
     columns = [fields.get(c, F.lit(None)).cast(_TYPES[c]).alias(c) for c in COLUMNS]
-    out = rows.select(record_id, F.lit(source).alias("source"), *columns)
+    out = rows.filter(F.col("source") == source).select(record_id, F.lit(source).alias("source"), *columns)
     return out.withColumn("authors", F.coalesce("authors", F.array().cast("array<string>"))).withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))).filter("title IS NOT NULL")
 
 
+def parse(landing: DataFrame, source: str, record_id: str = "paper_id", payload: str = "raw_data") -> DataFrame:
+    """(record_id, source, the canonical columns) of one source's payloads."""
+    return _parsed(readable(landing, record_id, payload), source, record_id)
+
+
 def parse_all(landing: DataFrame, record_id: str = "paper_id", payload: str = "raw_data", sources: tuple[str, ...] = tuple(PARSERS)) -> DataFrame:
-    """The rows of all sources, each by its own parser."""
+    """The rows of all sources, each by its own parser.
+
+    Payloads are written once, a folder for each source, so every parser reads its own only.
+    """
+    rows = materialise(readable(landing, record_id, payload).filter(F.col("source").isin(*sources)), by="source")
     out = None
     for s in sources:
-        part = parse(landing, s, record_id, payload)
+        part = _parsed(rows, s, record_id)
         out = part if out is None else out.unionByName(part)
     return out
 
