@@ -17,6 +17,8 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folioweave.session import materialise
@@ -43,24 +45,25 @@ def pack(items: DataFrame, item_id: str, length: str, capacity: int = 2048, clas
     sorted_out = parts.select("item", "part", "length", kind.alias("kind"), F.pmod(F.xxhash64("item", "part"), F.lit(workers)).alias("worker"))
 
     columns = ("item", "part", "length", "kind", "worker", "own")
-    placed = None
+    placed, spaces = [], None  # what is done, and the space of each container
     low = 1
     while low <= classes:
-        group = sorted_out.filter(F.col("kind").between(low, min(2 * low, classes + 1) - 1))
-        if placed is None:
-            placed = _harmonic(group, capacity, classes)
-        else:
-            group = group.select("worker", "item", "part", "length", "kind")
-            for turn in range(turns):
-                line = materialise(_offered(placed, group, capacity, low, turn))
-                guests = line.filter("home IS NOT NULL").select("item", "part", "length", F.col("home.kind").alias("kind"), "worker", F.col("home.own").alias("own"))
-                placed = placed.unionByName(guests)
-                group = line.filter("home IS NULL").drop("home")
-            placed = placed.unionByName(_harmonic(group, capacity, classes).select(*columns))
-        placed = materialise(placed.select(*columns))
+        group = sorted_out.filter(F.col("kind").between(low, min(2 * low, classes + 1) - 1)).select("worker", "item", "part", "length", "kind")
+        for turn in range(turns if spaces is not None else 0):
+            line = materialise(_offered(spaces, group, capacity, low, turn))
+            guests = line.filter("home IS NOT NULL").select("item", "part", "length", F.col("home.kind").alias("kind"), "worker", F.col("home.own").alias("own"))
+            taken = guests.groupBy("worker", "kind", "own").agg(F.sum("length").alias("taken"))
+            spaces = materialise(spaces.join(taken, ["worker", "kind", "own"], "left").select("worker", "kind", "own", (F.col("space") - F.coalesce("taken", F.lit(0))).alias("space")))
+            placed.append(guests.select(*columns))
+            group = line.filter("home IS NULL").drop("home")
+        own = materialise(_harmonic(group, capacity, classes).select(*columns))
+        placed.append(own)
+        fresh = own.groupBy("worker", "kind", "own").agg((capacity - F.sum("length")).alias("space"))
+        spaces = materialise(fresh if spaces is None else spaces.unionByName(fresh))
         low *= 2
+    placed = reduce(DataFrame.unionByName, placed)
     # containers are numbered through: a row for each class and worker is all that meets
-    counts = placed.groupBy("kind", "worker").agg((F.max("own") + 1).alias("n"))
+    counts = spaces.groupBy("kind", "worker").agg((F.max("own") + 1).alias("n"))
     first = counts.select("kind", "worker", (F.sum("n").over(Window.orderBy("kind", "worker")) - F.col("n")).alias("first"))
     return placed.join(F.broadcast(first), ["kind", "worker"]).select("item", "part", "length", (F.col("first") + F.col("own")).alias("container"))
 
@@ -74,9 +77,9 @@ def _harmonic(d: DataFrame, capacity: int, classes: int) -> DataFrame:
     return d.withColumn("own", own.cast("long"))
 
 
-def _offered(placed: DataFrame, group: DataFrame, capacity: int, low: int, turn: int) -> DataFrame:
-    """Items of ``group`` with ``home``, the container of ``placed`` whose space they lie in; NULL for none."""
-    spaces = placed.groupBy("worker", "kind", "own").agg((capacity - F.sum("length")).alias("space")).filter(F.col("space") >= capacity // (2 * low))
+def _offered(spaces: DataFrame, group: DataFrame, capacity: int, low: int, turn: int) -> DataFrame:
+    """Items of ``group`` with ``home``, the container of ``spaces`` whose space they lie in; NULL for none."""
+    spaces = spaces.filter(F.col("space") >= capacity // (2 * low))
     before = lambda *o: Window.partitionBy("worker").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
     at = lambda c, *o: F.coalesce(F.sum(c).over(before(*o)), F.lit(0)).alias("at")
     mixed = F.xxhash64("kind", "own", F.lit(turn)), F.col("kind"), F.col("own")
