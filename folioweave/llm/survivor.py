@@ -1,8 +1,8 @@
 """One surviving record for each set of copies: votes for field values, unpivoted and pivoted back.
 
 Every copy votes in every field for the normalised value it holds, with the weight
-``trust of its source * 2 ** -(age / half life)``.  Weights are summed per set, field and
-value; the value with the largest sum wins, ties going to the latest record, then to the
+``trust of its source * 2 ** -(age / half life)``.  Ages count from a fixed day: another day
+would scale all weights alike.  Weights are summed per set, field and value; the value with the largest sum wins, ties going to the latest record, then to the
 smaller id.  A field may ask for the union of its values instead.
 
 Cases: a NULL value casts no vote, so a field nobody fills stays NULL; a NULL time counts as
@@ -22,6 +22,8 @@ from folioweave.session import materialise
 
 # Phrases that stand where an abstract is missing.
 FILLERS = ("n/a", "null", "none", "-", "no abstract available", "abstract not available", "see pdf", "not provided", "no abstract", "not available")
+# Days since 1970 to the day ages count from, 2020-01-01.
+_DAY = 18_262.0
 
 
 @dataclass(frozen=True)
@@ -41,19 +43,17 @@ class Field:
 
 def survivors(copies: DataFrame, fields: list[Field], set_id: str = "set_id", record_id: str = "id", source: str = "source", time: str = "fetched_at") -> DataFrame:
     """One row per set: ``set_id`` and a text column for each field (a sorted array for a union)."""
-    latest = copies.agg(F.max(time).alias("now"))
-    days = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / F.lit(86_400e6)
+    age = F.lit(_DAY) - F.unix_micros(F.col(time).cast("timestamp")) / F.lit(86_400e6)
 
     def weight(f: Field) -> Column:
-        decay = F.coalesce(F.pow(F.lit(2.0), -days / F.lit(f.half_life_days)), F.lit(0.0))
+        decay = F.coalesce(F.pow(F.lit(2.0), -age / F.lit(f.half_life_days)), F.lit(0.0))
         if not f.trust:
             return decay
         known = F.create_map(*(F.lit(x) for kv in f.trust.items() for x in kv))
         best = F.array_max(F.transform(F.split(F.coalesce(F.col(source), F.lit("")), r"\s*,\s*"), lambda s: F.coalesce(F.try_element_at(known, s), F.lit(1.0))))
         return best * decay
 
-    aged = copies.crossJoin(F.broadcast(latest))  # one row: the time of the latest record
-    long = aged.select(
+    long = copies.select(
         F.col(set_id).alias("set_id"), F.col(record_id).alias("id"), F.col(time).alias("time"),
         F.inline(F.array(*(F.struct(F.lit(f.name).alias("field"), f.value.cast("string").alias("value"), weight(f).alias("vote")) for f in fields))),
     ).filter("value IS NOT NULL")
