@@ -124,10 +124,9 @@ def h_contribution(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def bursts(nodes: DataFrame, window: int = 3, now: int | None = None) -> DataFrame:
     """(paper_id, score) of each node by year and citations; ``now`` is the latest year, or 2024 where none is known."""
-    year = F.nullif(F.col("year"), F.lit(0))
-    latest = nodes.agg(F.coalesce(F.max(year), F.lit(2024)).alias("now")) if now is None else None
-    rows = nodes.withColumn("now", F.lit(now)) if latest is None else nodes.crossJoin(F.broadcast(latest))  # one row
-    return rows.select("paper_id", citation_burst(F.col("year"), F.col("citations_count"), F.col("now"), window).alias("score"))
+    if now is None:
+        now = nodes.agg(F.coalesce(F.max(F.nullif("year", F.lit(0))), F.lit(2024))).first()[0]
+    return nodes.select("paper_id", citation_burst(F.col("year"), F.col("citations_count"), F.lit(now), window).alias("score"))
 
 
 def top(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -183,8 +182,8 @@ def as_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, json): the graph's nodes and edges as lines of JSON, and one line of its counts."""
     node = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(*nodes.columns)).alias("json"))
     edge = edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(*edges.columns)).alias("json"))
-    sizes = nodes.agg(F.count("*").alias("node_count")).crossJoin(edges.agg(F.count("*").alias("edge_count")))  # two single rows
-    return node.unionByName(edge).unionByName(sizes.select(F.lit("stats").alias("kind"), F.to_json(F.struct("node_count", "edge_count")).alias("json")))
+    counts = nodes.agg(F.count("*").alias("node_count"), F.lit(edges.count()).alias("edge_count"))
+    return node.unionByName(edge).unionByName(counts.select(F.lit("stats").alias("kind"), F.to_json(F.struct("node_count", "edge_count")).alias("json")))
 
 
 def from_json(lines: DataFrame, node_schema: str = "paper_id BIGINT, title STRING, year INT", edge_schema: str = "citing_id BIGINT, cited_id BIGINT") -> tuple[DataFrame, DataFrame]:
