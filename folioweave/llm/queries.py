@@ -88,5 +88,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in fs}
 
 
+# The sets of p5 in SQL: keys, the DOIs of each title, and the set each row falls into.
+_SETS = (
+    r"WITH k AS (SELECT paper_id AS id, nullif(regexp_replace(lower(title), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '') AS t,"
+    r" nullif(regexp_extract(replace(lower(doi), '%2f', '/'), '(10\.[0-9]{3,9}(\.[0-9]+)*/[^\s]*[^\s.,;:)\]}>\"''])', 1), '') AS d FROM papers),"
+    " g AS (SELECT t, count(DISTINCT d) AS n, min(d) AS one FROM k WHERE t IS NOT NULL GROUP BY t),"
+    " s AS (SELECT id, t, CASE WHEN d IS NULL AND n = 1 THEN one ELSE d END AS sd FROM k JOIN g USING (t)),"
+    " m AS (SELECT id, min(id) OVER (PARTITION BY t, sd) AS first_id FROM s)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": _SETS + " SELECT first_id, id AS second_id FROM m WHERE id <> first_id",
+        "p5_records": _SETS + " SELECT first_id AS record_id, count(*) AS copies, false AS collided FROM m GROUP BY 1",
+    }
