@@ -88,6 +88,41 @@ def _pagerank(rounds: int, dangling: bool) -> str:
     return "WITH " + ", ".join(ctes) + f" SELECT paper_id, round(ln(score), 9) AS log_score FROM r{rounds}"
 
 
+def _listed(x: str) -> str:
+    """The elements of a JSON list, or the single value in its place."""
+    return f"CASE WHEN {x} IS NULL THEN [] WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END"
+
+
+def _organisations() -> str:
+    specs = (
+        ("paper", "$.authorships", "$.institutions", "$.display_name", ""), ("paper", "$.author", "$.affiliation", "$.name", ""), ("paper", "$.authors", "$.affiliations", "$", ""),
+        ("paper", "$.MedlineCitation.Article.AuthorList", "$.AffiliationInfo", "$.Affiliation", ""), ("paper", "$.bibjson.author", "$.affiliation", "$", ""),
+        ("author", "$", "$.affiliations", "$.institution.display_name", ""), ("author", "$", "$.affiliations", "$", ""), ("author", "$", '$."affiliation-current"', '$."affiliation-name"', ""), ("author", "$", "$.notes.note", "$.text", " AND o ->> '$.\"@type\"' = 'affiliation'"),
+    )
+    parts = []
+    for owner, outer, inner, name, more in specs:
+        a = f"SELECT id, unnest({_listed('x')}) AS a, generate_subscripts({_listed('x')}, 1) - 1 AS i FROM (SELECT id, json_extract(p, '{outer}') AS x FROM v WHERE owner = '{owner}')"
+        o = f"SELECT id, i, unnest({_listed('y')}) AS o, generate_subscripts({_listed('y')}, 1) - 1 AS j FROM (SELECT id, i, json_extract(a, '{inner}') AS y FROM ({a}) WHERE json_type(a) = 'OBJECT')"
+        parts.append(f"SELECT '{owner}' AS owner, id AS owner_id, i::INTEGER AS author_pos, j::INTEGER AS org_pos, json_extract_string(o, '{name}') AS org_name FROM ({o}) WHERE json_type(json_extract(o, '{name}')) = 'VARCHAR' AND json_extract_string(o, '{name}') <> ''{more}")
+    return f"WITH {_PAYLOADS} " + " UNION ALL ".join(parts)
+
+
+# Payloads of both kinds, unwrapped, those that can be read.
+_PAYLOADS = (
+    "u AS (SELECT owner, id, CASE WHEN json_valid(raw) THEN CASE WHEN json_type(raw) = 'VARCHAR' THEN json_extract_string(raw, '$') ELSE raw END END AS p FROM (SELECT 'paper' AS owner, paper_id AS id, raw_data AS raw FROM papers UNION ALL SELECT 'author', author_id, raw_data FROM authors))"
+    ", v AS (SELECT owner, id, p::JSON AS p FROM u WHERE json_valid(p))"
+)
+
+
+def _paper_authors() -> str:
+    specs = (("$.authorships", "$.author.display_name"), ("$.author", "$.family"), ("$.authors", "$.name"), ("$.MedlineCitation.Article.AuthorList", "$.LastName"), ("$.bibjson.author", "$.name"), ("$.info.authors.author", "$.text"))
+    parts = []
+    for path, name in specs:
+        a = f"SELECT id, unnest({_listed('x')}) AS a, generate_subscripts({_listed('x')}, 1) - 1 AS i FROM (SELECT id, json_extract(p, '{path}') AS x FROM v WHERE owner = 'paper')"
+        parts.append(f"SELECT id AS paper_id, i::INTEGER AS author_pos, json_extract_string(a, '{name}') AS name FROM ({a}) WHERE json_type(a) = 'OBJECT' AND json_type(json_extract(a, '{name}')) = 'VARCHAR' AND json_extract_string(a, '{name}') <> ''")
+    return f"WITH {_PAYLOADS} " + " UNION ALL ".join(parts)
+
+
 def statements() -> dict[str, str]:
     sources = ("openalex", "crossref", "semantic_scholar", "pubmed", "core", "arxiv", "dblp", "doaj", "elsevier", "google_scholar", "wos", "biorxiv", "medrxiv")
     ext = "CASE WHEN contains(split_part(lower(u), '?', 1), '.') THEN split_part(split_part(lower(u), '?', 1), '.', -1) ELSE '' END"
@@ -95,6 +130,9 @@ def statements() -> dict[str, str]:
     page = f"({ext} IN ('html', 'htm') OR (regexp_matches(lower(u), '^https?://') AND {ext} NOT IN ('pdf', 'doc', 'docx', 'ppt', 'pptx', 'xls', 'xlsx')))"
     order = {"sort_citations": "coalesce(citations_count, 0) DESC, paper_id", "sort_date": "coalesce(year, 0) DESC, paper_id", "sort_date_asc": "coalesce(year, 0), paper_id"}
     out = {
+        "p3_found": _organisations(),
+        "p3_authors": _paper_authors(),
+        "concept_scores": f"WITH {_PAYLOADS} SELECT id AS paper_id, json_extract_string(c, '$.display_name') AS concept, json_extract_string(c, '$.score')::DOUBLE AS score FROM (SELECT id, unnest({_listed('x')}) AS c FROM (SELECT id, json_extract(p, '$.concepts') AS x FROM v WHERE owner = 'paper')) WHERE json_extract_string(c, '$.score')::DOUBLE >= 0.3",
         "norm_title_keys": f"SELECT paper_id, {_TITLE} AS title_norm FROM papers",
         "norm_doi_keys": f"SELECT paper_id, {_DOI} AS doi_norm FROM papers",
         "year_from_text": r"SELECT paper_id, try_cast(nullif(regexp_extract(doi, '\b((19|20)\d{2})\b', 1), '') AS INTEGER) AS year_found FROM papers",
