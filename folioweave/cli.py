@@ -32,6 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     i.add_argument("doi")
     i.add_argument("--papers", required=True)
     i.add_argument("--merge", action="store_true")
+    i.add_argument("--json", action="store_true")
     e = sub.add_parser("extract", help="a web page as markdown")
     e.add_argument("page")
     e.add_argument("--json", action="store_true")
