@@ -88,6 +88,12 @@ def _pagerank(rounds: int, dangling: bool) -> str:
     return "WITH " + ", ".join(ctes) + f" SELECT paper_id, round(ln(score), 9) AS log_score FROM r{rounds}"
 
 
+def _file_id(u: str) -> str:
+    """The identifier in an address that names its file."""
+    number = rf"coalesce(nullif(regexp_extract({u}, '(\d{{4}}\.\d{{4,5}})(v\d+)?', 1), ''), nullif(regexp_extract({u}, '([a-z-]+/\d{{7}})(v\d+)?', 1), ''))"
+    return rf"coalesce('arxiv_' || replace({number}, '/', '_'), 'preprint_' || translate(nullif(regexp_extract({u}, '10\.1101/[\d.]+'), ''), '/.', '__'), lower(nullif(regexp_extract({u}, '(?i)PMC\d+'), '')))"
+
+
 def _listed(x: str) -> str:
     """The elements of a JSON list, or the single value in its place."""
     return f"CASE WHEN {x} IS NULL THEN [] WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END"
@@ -138,6 +144,17 @@ def statements() -> dict[str, str]:
         "year_from_text": r"SELECT paper_id, try_cast(nullif(regexp_extract(doi, '\b((19|20)\d{2})\b', 1), '') AS INTEGER) AS year_found FROM papers",
         "url_predicates": f"SELECT paper_id, u, regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\s]+') AS is_url, (ends_with(lower(u), '.pdf') OR contains(lower(u), '/pdf/')) AS is_pdf, {ext} AS ext, CASE WHEN {pdf} THEN 'pdf' WHEN {page} THEN 'html' END AS extractor FROM (SELECT paper_id, unnest([url, pdf_url]) AS u FROM papers) WHERE u IS NOT NULL",
         "truncate_abstract": "SELECT paper_id, CASE WHEN length(abstract) <= 200 THEN abstract ELSE left(abstract, 197) || '...' END AS short FROM papers",
+        "record_listing": (
+            "SELECT paper_id, concat_ws(chr(10), title, CASE WHEN len(authors) > 5 THEN array_to_string(authors[1:5], ', ') || ' et al. (' || len(authors) || ' authors)' WHEN len(authors) > 0 THEN array_to_string(authors, ', ') END,"
+            " nullif(concat_ws(' | ', CASE WHEN year <> 0 THEN year::VARCHAR END, nullif(journal, '')), ''), CASE WHEN citations_count > 0 THEN 'Citations: ' || citations_count END,"
+            " CASE WHEN nullif(abstract, '') IS NOT NULL THEN CASE WHEN length(abstract) <= 303 THEN abstract ELSE left(abstract, 300) || '...' END END) AS listing FROM papers"
+        ),
+        "pdf_url_resolve": (
+            "SELECT paper_id, CASE WHEN ends_with(lower(u), '.pdf') THEN u WHEN contains(u, 'arxiv.org/abs/') THEN 'https://arxiv.org/pdf/' || split_part(split_part(u, '/abs/', -1), 'v', 1) || '.pdf' WHEN contains(u, 'arxiv.org/pdf/') THEN u || '.pdf'"
+            " WHEN contains(u, 'biorxiv.org/content/') OR contains(u, 'medrxiv.org/content/') THEN rtrim(u, '/') || '.full.pdf' WHEN contains(u, 'ncbi.nlm.nih.gov/pmc/articles/') THEN CASE WHEN ends_with(u, '/pdf/') THEN u ELSE rtrim(u, '/') || '/pdf/' END ELSE u END AS pdf,"
+            f" coalesce({_file_id('u')}, {_file_id('o')}, 'paper_' || left(md5(o), 12)) AS file_name,"
+            rf" left(regexp_replace(regexp_replace(title, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\t-\r\x{{85}}\p{{Z}}-]', '', 'g'), '{_WS}+', '_', 'g'), 100) AS title_file FROM (SELECT *, coalesce(pdf_url, url) AS u, coalesce(url, pdf_url) AS o FROM papers) WHERE u IS NOT NULL"
+        ),
         "backoff_schedule": "SELECT i AS attempt, least(1.0 * pow(2.0, i), 60.0)::DOUBLE AS seconds FROM range(10) t(i)",
         "institution_types": "SELECT institution_id, CASE WHEN contains(lower(name), 'university') OR contains(lower(name), 'college') THEN 'education' WHEN contains(lower(name), 'hospital') OR contains(lower(name), 'medical') THEN 'healthcare' WHEN contains(lower(name), 'institute') OR contains(lower(name), 'laboratory') THEN 'research' END AS inferred FROM institutions",
         "text_match_filter": "SELECT paper_id, title FROM papers WHERE contains(lower(title), 'harbour') OR contains(lower(coalesce(abstract, '')), 'harbour') OR len(list_filter(coalesce(authors, []), lambda a: contains(lower(a), 'harbour'))) > 0",
