@@ -5,7 +5,9 @@ Blocking (a pair is compared once, whichever pass brings it up):
   word    a rare title word in common; a word that only one catalogue knows counts as the
           words of the other that begin or end alike and lie within three edits;
   name    a name, the year (plus or minus one) and nine tenths of the longer title words in
-          common, for records whose title has lost its very rare words.
+          common, for records with no very rare word that both catalogues know; a word that
+          only its own catalogue knows is common if the other title has one within two
+          fifths of its letters, four at most.
 A word is rare if at most ``rare`` distinct titles hold it, so copies of one record do not
 make a word common; frequent words are not dropped but refined by name and year.
 
@@ -116,16 +118,25 @@ def candidates(a: DataFrame, b: DataFrame, rare_a: DataFrame, rare_b: DataFrame,
 
     long = F.filter("words", lambda w: F.length(w) >= 5)
 
-    def named(d: DataFrame, name: str, years: Column) -> DataFrame:
-        rows = d.filter("year IS NOT NULL").select(F.col("id").alias(name), "mark", long.alias("long"), F.explode("names").alias("n"), years.alias("y"))
-        rows = rows.filter(F.length("n") >= 5).select(name, "mark", "n", "y", F.explode("long").alias("w"))
-        return rows.select(name, F.xxhash64("n", "w", "y", "mark").alias("k"), (F.crc32("n") % 2147483647).cast("int").alias("n"))
-
-    lost = b.join(very_rare_b.select("id").distinct(), "id", "left_anti")
+    def named(d: DataFrame, name: str, words: Column, years: Column) -> DataFrame:
+        rows = d.filter("year IS NOT NULL").select(F.col("id").alias(name), "mark", words.alias("ws"), F.explode("names").alias("n"), years.alias("y"))
+        rows = rows.filter(F.length("n") >= 5).select(name, "mark", "n", "y", F.explode("ws").alias("w"))
+        return rows.select(name, F.xxhash64("n", "w", "y", "mark").alias("k"))
+
+    used = a.select(F.explode(long).alias("word")).groupBy("word").agg(F.count("*").alias("used"))
+    lost = b.join(very_rare_b.join(known_a, "word", "left_semi").select("id").distinct(), "id", "left_anti").filter("year IS NOT NULL")
+    # a word that only the imports hold may be a slip: it is looked for among the words of the other title
+    told = lost.select("id", F.explode(long).alias("word")).join(used, "word", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("used", "word"))).alias("told"))  # no more words than the title has
+    held = F.filter("told", lambda x: x["used"].isNotNull())
+    lost = materialise(lost.join(told, "id").select("id", "mark", "names", "year", held["word"].alias("held"), F.filter("told", lambda x: x["used"].isNull())["word"].alias("slips")))
+    size = F.size("held") + F.size("slips")
+    # a tenth of the words may be missing, so a pair shares one of the rarest words that are one more
+    rarest = F.slice("held", 1, F.floor(size * 0.1).cast("int") + 1)
     near_years = F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))
-    shared = named(a, "a", F.col("year")).join(named(lost, "b", near_years).drop("n"), "k").groupBy("a", "b", "n").agg(F.count("*").alias("shared")).groupBy("a", "b").agg(F.max("shared").alias("shared"))
-    sizes = lost.select(F.col("id").alias("b"), F.size(long).alias("b_words"))
-    by_name = shared.join(sizes, "b").filter(F.col("shared") >= 0.9 * F.col("b_words")).select("a", "b")
+    met = named(a, "a", long, F.col("year")).join(named(lost, "b", rarest, near_years), "k").select("a", "b").distinct()
+    met = met.join(lost.select(F.col("id").alias("b"), "held", "slips"), "b").join(a.select(F.col("id").alias("a"), long.alias("long")), "a")
+    alike = F.filter("slips", lambda x: F.exists("long", lambda w: F.levenshtein(x, w, 4).between(0, F.floor(F.length(x) * 0.4))))  # -1 beyond the bound
+    by_name = met.filter(F.size(F.array_intersect("held", "long")) + F.size(alike) >= 0.9 * size).select("a", "b")
     return by_word.unionByName(by_doi).unionByName(by_name).distinct()
 
 
