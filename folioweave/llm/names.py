@@ -226,9 +226,14 @@ def _blocks(word: str) -> set[str]:
     return {">" + word[-SUFFIX:], "<" + word[::-1][-SUFFIX:]}
 
 
+def _slip_blocks(word: str) -> set[str]:
+    """The word, and the word without each of its letters: two words that one edit or one swap of neighbours tells apart have one in common."""
+    return {"-" + word, *("-" + word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 def _place_blocks(place: str) -> set[str]:
-    """Long suffixes of a place's name, and the suffix of the name read backwards that starts where they end."""
-    return {">" + place[k:] for k in range(3, 7) if len(place) - k >= SUFFIX} | {"<" + place[:6]}
+    """Long suffixes of a place's name, the suffix of the name read backwards that starts where they end, and what a single slip leaves."""
+    return {">" + place[k:] for k in range(3, 7) if len(place) - k >= SUFFIX} | {"<" + place[:6]} | _slip_blocks(place)
 
 
 def _initials(given: tuple[str, ...]) -> set[str]:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioweave.llm import linkage
+from folioweave.llm import linkage, names
 
 
 def test_slips_of_rare_words_reach_the_name_pass(spark):
@@ -16,3 +16,15 @@ def test_slips_of_rare_words_reach_the_name_pass(spark):
     b = linkage.prepared(spark.createDataFrame(right, ddl.format("import_id")), "import_id")
     got = {tuple(r) for r in linkage.candidates(a, b, *linkage.rare_words(a, b, 60), 15).filter(F.col("a") < 100).collect()}
     assert got == {(0, 0), (1, 1), (2, 2)}
+
+
+def slips(word):
+    """Every word that one deletion, change, insertion or swap makes of ``word``."""
+    cut = [(word[:i], word[i:]) for i in range(len(word) + 1)]
+    out = {a + b[1:] for a, b in cut if b} | {a + "q" + b[1:] for a, b in cut if b} | {a + "q" + b for a, b in cut} | {a + b[1] + b[0] + b[2:] for a, b in cut if len(b) > 1}
+    return out - {word}
+
+
+def test_single_slips_of_places_share_a_block():
+    for place in ("ulmen", "leipzig", "jufelzuuford", "tovufzoifield", "rihecahvafield"):
+        assert [s for s in slips(place) if not names._place_blocks(place) & names._place_blocks(s)] == []
