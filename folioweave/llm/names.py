@@ -1,7 +1,8 @@
 """Variant spellings of persons and organisations: suffix blocking and longest common subsequences.
 
 Blocking indexes the suffix of ``SUFFIX`` letters of a name's leading word, and the suffix of
-the word read backwards, so that one slip anywhere leaves one of the two intact.  A suffix is
+the word read backwards; words too short for one slip anywhere to leave one of the two intact,
+and places, are indexed without each of their letters as well.  A suffix is
 never dropped for being common: it is refined by another field first (the kind of
 organisation, a shared organisation, the initial of the given name), which keeps blocks
 small without losing a pair that could match.  Names in papers look for their whole family
@@ -222,8 +223,8 @@ def _flat_map(df: DataFrame, f, schema: str) -> DataFrame:
 
 
 def _blocks(word: str) -> set[str]:
-    """The keys of a word: its suffix, and the suffix of the word read backwards."""
-    return {">" + word[-SUFFIX:], "<" + word[::-1][-SUFFIX:]}
+    """The keys of a word: its suffix, and the suffix of the word read backwards; what a single slip leaves where the two overlap or meet."""
+    return {">" + word[-SUFFIX:], "<" + word[::-1][-SUFFIX:]} | (_slip_blocks(word) if len(word) <= 2 * SUFFIX else set())
 
 
 def _slip_blocks(word: str) -> set[str]:

@@ -28,3 +28,8 @@ def slips(word):
 def test_single_slips_of_places_share_a_block():
     for place in ("ulmen", "leipzig", "jufelzuuford", "tovufzoifield", "rihecahvafield"):
         assert [s for s in slips(place) if not names._place_blocks(place) & names._place_blocks(s)] == []
+
+
+def test_single_slips_of_family_names_share_a_block():
+    for family in ("li", "meyer", "miller", "johnson", "anderson", "milhiike", "kogotrebi"):
+        assert [s for s in slips(family) if not names._blocks(family) & names._blocks(s)] == []
