@@ -254,15 +254,11 @@ def resolve_organisations(names: DataFrame, addresses: DataFrame | None = None,
         return [(name, p[0] + "|" + p[1], p[0], p[1])] if p else []
 
     parsed = materialise(_flat_map(distinct, parse, "name string, node string, kind string, place string"))
-    nodes = parsed.groupBy("node", "kind", "place").agg(F.count("*").alias("n"))
-    keyed = _flat_map(nodes, lambda n, k, p, c: [(k + b, n, p, c) for b in _place_blocks(p)], "block string, node string, place string, n long")
-    # the leading spellings of a block stand for it: slips meet each other through them
-    lead = keyed.groupBy("block").agg(F.max("n").alias("most"), F.count("*").alias("members")).filter("members > 1")
-    keyed = keyed.join(lead, "block")
-    leaders = keyed.filter(F.col("n") * 20 >= F.col("most")).select("block", F.col("node").alias("node_b"), F.col("place").alias("place_b"), F.col("n").alias("n_b"))
-    close = F.abs(F.length("place") - F.length("place_b")) <= 3
-    forward = (F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("node") < F.col("node_b")))
-    pairs = keyed.join(leaders, "block").filter(forward & close).select("node", "place", "node_b", "place_b").distinct()
+    nodes = parsed.select("node", "kind", "place").distinct()
+    keyed = materialise(_flat_map(nodes, lambda n, k, p: [(k + b, n, p) for b in _place_blocks(p)], "block string, node string, place string"))
+    other = keyed.select("block", F.col("node").alias("node_b"), F.col("place").alias("place_b"))
+    close = F.abs(F.length("place") - F.length("place_b")) <= (1 - least) * (F.length("place") + F.length("place_b"))  # beyond it no ratio reaches least
+    pairs = keyed.join(other, "block").filter((F.col("node") < F.col("node_b")) & close).select("node", "place", "node_b", "place_b").distinct()
     edges = _flat_map(pairs, lambda n, p, m, q: [(n, m)] if ratio(p, q) >= least else [], "a string, b string")
     if addresses is not None:
         host = F.regexp_extract(F.lower("address"), r"^(?:https?://)?(?:www\.)?([^/]+)", 1)

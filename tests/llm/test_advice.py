@@ -33,3 +33,10 @@ def test_single_slips_of_places_share_a_block():
 def test_single_slips_of_family_names_share_a_block():
     for family in ("li", "meyer", "miller", "johnson", "anderson", "milhiike", "kogotrebi"):
         assert [s for s in slips(family) if not names._blocks(family) & names._blocks(s)] == []
+
+
+def test_rare_spellings_are_compared_beside_a_common_one(spark):
+    common = [f"Harborstonefield University ({i})" for i in range(60)]  # shares its first six letters with the others
+    a, b = "Harborwickdaletown University", "Harborwikdaletwon University"
+    got = {r.name: r.org for r in names.resolve_organisations(spark.createDataFrame([(n,) for n in [*common, a, b]], "name string")).collect()}
+    assert got[a] == got[b] != got[common[0]] and len(set(got.values())) == 2
