@@ -62,6 +62,8 @@ KINDS = (
 )
 # Further words of organisations' names that name no place.
 _PLAIN = frozenset("of de la le the und and for general gen national natl nat school medicine dept department division soil science physics statistics faculty letters computing group centre center".split())
+# Short words that only link others.
+_LINKS = frozenset("a an am at by da das dei del den der des di do du e el et fur im in les los on to van von y zu zur".split())
 _KIND_OF = {w: k for k, words in KINDS for w in words}
 _RANK = {k: i for i, (k, _) in enumerate(KINDS)}
 
@@ -196,13 +198,17 @@ def _word_kind(w: str) -> str | None:
 def parse_organisation(name: str) -> tuple[str, str] | None:
     """(kind, place) of an organisation; None for a name without a place."""
     words = re.findall(r"[^\W\d_]+", fold(re.sub(r"['’]", "", name)))
-    kinds, places = set(), []
+    kinds, places, short = set(), [], []
     for w in words:
         k = _word_kind(w)
         if k:
             kinds.add(k)
-        elif w not in _PLAIN and len(w) > 3 and not any(ratio(w, p) >= 0.86 for p in _PLAIN if len(p) >= 7):
+        elif len(w) <= 3:
+            if w not in _PLAIN and w not in _LINKS:
+                short.append(w)
+        elif w not in _PLAIN and not any(ratio(w, p) >= 0.86 for p in _PLAIN if len(p) >= 7):
             places.append(w)
+    places = places or short  # 'University of Ulm', 'ETH'
     if not places:
         return None
     if not kinds:

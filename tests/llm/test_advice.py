@@ -40,3 +40,9 @@ def test_rare_spellings_are_compared_beside_a_common_one(spark):
     a, b = "Harborwickdaletown University", "Harborwikdaletwon University"
     got = {r.name: r.org for r in names.resolve_organisations(spark.createDataFrame([(n,) for n in [*common, a, b]], "name string")).collect()}
     assert got[a] == got[b] != got[common[0]] and len(set(got.values())) == 2
+
+
+def test_short_words_name_a_place_where_no_longer_one_does():
+    assert names.parse_organisation("University of Ulm") == names.parse_organisation("Univ. Ulm") == ("university", "ulm")
+    assert names.parse_organisation("ETH") == ("other", "eth") and names.parse_organisation("MIT") == ("other", "mit")
+    assert names.parse_organisation("ETH Zurich") == ("other", "zurich") and names.parse_organisation("Univ. of the") is None and names.parse_organisation("") is None
