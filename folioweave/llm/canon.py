@@ -7,24 +7,38 @@ from pyspark.sql import Column, functions as F
 # Full-width ASCII and the characters it stands for.
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-# The bases and combining marks of Latin letters that are composed before titles are compared.
-_BASES = "AEIOUNCYaeiouncy"
-_MARKS = "̧̀́̂̃̈̌"
 
 
-def _composed() -> list[tuple[str, str]]:
+def _composed() -> str:
+    """Every canonical pair of a character and a combining mark, each before the character it makes."""
+    import sys
     import unicodedata
 
-    pairs = [(b + m, unicodedata.normalize("NFC", b + m)) for m in _MARKS for b in _BASES]
-    return [(d, c) for d, c in pairs if len(c) == 1]
+    out = []
+    for c in map(chr, range(0xC0, sys.maxunicode + 1)):
+        d = unicodedata.decomposition(c)
+        if d and d[0] != "<" and len(pair := "".join(chr(int(x, 16)) for x in d.split())) == 2 and unicodedata.normalize("NFC", pair) == c:
+            out.append(pair + c)
+    return "\t".join(f"{x[:2]}\n{x[2]}" for x in out)
+
+
+_COMPOSED = _composed()
+
+
+def _compose(text: Column) -> Column:
+    """``text`` with each character and the marks that follow it composed as far as there are characters for them."""
+    pairs = F.str_to_map(F.lit(_COMPOSED), F.lit("\t"), F.lit("\n"))
+    last = lambda s, c: F.try_element_at(pairs, F.concat(F.right(s, F.lit(1)), c))
+    add = lambda s, c: F.coalesce(F.concat(F.left(s, F.length(s) - 1), last(s, c)), F.concat(s, c))
+    pieces = F.regexp_extract_all(text, F.lit(r"\P{M}\p{M}+|\P{M}+(?!\p{M})|\p{M}+"), F.lit(0))
+    one = lambda p: F.when(p.rlike(r"\p{M}"), F.aggregate(F.split(p, ""), F.lit(""), add)).otherwise(p)
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def canonical_characters(text: Column) -> Column:
     """Full-width forms become ASCII, letters with combining marks one character, markup and the commonest entities plain text."""
     plain = F.translate(text, _WIDE, _PLAIN)
-    pairs = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(c).alias("c")) for d, c in _composed()))
-    composed = F.aggregate(pairs, plain, lambda t, p: F.replace(t, p["d"], p["c"]))
-    plain = F.when(plain.rlike("[̀-ͯ]"), composed).otherwise(plain)
+    plain = F.when(plain.rlike(r"\p{M}"), _compose(plain)).otherwise(plain)
     stripped = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"</?[A-Za-z][^<>]*>", ""), "&amp;", "&"), r"&(lt|gt|quot|apos|nbsp|#\d+);", " ")
     return F.when(plain.rlike("[<&]"), stripped).otherwise(plain)
 

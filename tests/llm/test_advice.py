@@ -1,8 +1,10 @@
 """What the reviewer of round 1 found missing."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from folioweave.llm import linkage, names
+from folioweave.llm import canon, exact, linkage, names
 
 
 def test_slips_of_rare_words_reach_the_name_pass(spark):
@@ -46,3 +48,12 @@ def test_short_words_name_a_place_where_no_longer_one_does():
     assert names.parse_organisation("University of Ulm") == names.parse_organisation("Univ. Ulm") == ("university", "ulm")
     assert names.parse_organisation("ETH") == ("other", "eth") and names.parse_organisation("MIT") == ("other", "mit")
     assert names.parse_organisation("ETH Zurich") == ("other", "zurich") and names.parse_organisation("Univ. of the") is None and names.parse_organisation("") is None
+
+
+def test_decomposed_letters_of_any_kind_are_composed(spark):
+    titles = ["Škoda a žížala", "Kůň, őz i ąę: řeč", "Мой йод", "Việt Nam ệ", "が ガ", "plain", "q\u0323\u0301 x", "a\nš\u0301"]
+    rows = [(2 * i + k, unicodedata.normalize(f, t), None) for i, t in enumerate(titles) for k, f in enumerate(("NFC", "NFD"))]
+    df = spark.createDataFrame(rows, "paper_id bigint, title string, doi string")
+    got = {r.paper_id: r.c for r in df.select("paper_id", canon.canonical_characters(F.col("title")).alias("c")).collect()}
+    assert [t for i, t in enumerate(titles) if not got[2 * i] == got[2 * i + 1] == unicodedata.normalize("NFC", t)] == []
+    assert {tuple(r) for r in exact.found(df).collect()} == {(2 * i, 2 * i + 1) for i in range(len(titles))}
