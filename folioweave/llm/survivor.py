@@ -17,11 +17,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioweave.llm import exact, truncation
-from folioweave.llm.canon import doi_key
+from folioweave.llm.canon import doi_key, is_filler
 from folioweave.session import materialise
 
-# Phrases that stand where an abstract is missing.
-FILLERS = ("n/a", "null", "none", "-", "no abstract available", "abstract not available", "see pdf", "not provided", "no abstract", "not available")
 # Days since 1970 to the day ages count from, 2020-01-01.
 _DAY = 18_262.0
 
@@ -65,12 +63,6 @@ def survivors(copies: DataFrame, fields: list[Field], set_id: str = "set_id", re
     return votes.groupBy("set_id").agg(*((every(f) if f.union else one(f)).alias(f.name) for f in fields))
 
 
-def is_filler(text: Column) -> Column:
-    """Whether a text holds no abstract: blank, only markup, or a stock phrase."""
-    bare = F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, r"<[^<>]*>", "")), r"^[\s\[(]+|[\s\]).]+$", ""))
-    return text.isNull() | (bare == "") | bare.isin(*FILLERS)
-
-
 def found(papers: DataFrame) -> DataFrame:
     """(group_id, abstract_id, citations_id, doi, sources) for each set of two copies or more.
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioweave.llm.canon import is_filler
 from folioweave.session import materialise
 
 # Words by which providers remark that they cut a text.
@@ -63,21 +64,24 @@ def _words(clean: Column) -> Column:
 def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words: int = 12, least_seen: int = 3, terminal_share: float = 0.05, word_share: float = 0.5, pile: int = 8, pile_factor: float = 4.0) -> DataFrame:
     """(id, source, reason): each judged text; ``reason`` is NULL for a complete one.
 
+    Texts that stand for a missing one are left out; a text of fewer than ``least_words``
+    words is judged by visible cuts alone.
+
     ``least_seen`` is the support below which a trigram says nothing, ``terminal_share`` the
     share of terminal uses under which it counts as never terminal (``word_share`` for a last
     word alone, which says less), ``pile`` and
     ``pile_factor`` what makes a pile of equal lengths against the 20 lengths on either side.
     """
-    base = texts.select(F.col(record_id).alias("id"), F.col(source).alias("source"), F.length(text).alias("len"), _clean(F.col(text)).alias("c"))
-    base = base.filter(F.col("c").isNotNull() & (F.size(F.split("c", r"\s+", least_words)) >= least_words))
+    base = texts.select(F.col(record_id).alias("id"), F.col(source).alias("source"), F.length(text).alias("len"), _clean(F.col(text)).alias("c"), is_filler(F.col(text)).alias("filler"))
+    base = base.filter(F.col("c").isNotNull() & ~F.col("filler")).withColumn("long", F.size(F.split("c", r"\s+", least_words)) >= least_words)
     stopped = F.right("c", F.lit(20)).rlike(r"[.!?][\"'’”»)\]]*$")
     size = F.length("c")
     body = F.concat(F.left("c", size - _NOTE), F.regexp_replace(F.right("c", F.lit(_NOTE)), _TAIL_NOTE, ""))  # only the end can be a note
-    head = base.select("id", "source", "len", stopped.alias("stopped"), _visible_cut(F.col("c")).alias("seen"), body.alias("body"))
+    head = base.select("id", "source", "len", "long", stopped.alias("stopped"), _visible_cut(F.col("c")).alias("seen"), body.alias("body"))
     complete = F.right("body", F.lit(20)).rlike(r"[.!?)\]][\"'’”»)\]]*$")
-    head = head.select("id", "source", "len", "stopped", "seen", complete.alias("complete"), F.array_join(_words(F.col("body")), " ").alias("s"))
+    head = head.select("id", "source", "len", "long", "stopped", "seen", complete.alias("complete"), F.array_join(_words(F.col("body")), " ").alias("s"))
     head = materialise(head)
-    w = head.withColumn("w", F.split("s", " "))
+    w = head.filter("long").withColumn("w", F.split("s", " "))
 
     # every position of every text, as a trigram, a pair and a word
     following = F.get("w", F.col("i"))
@@ -97,14 +101,14 @@ def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words
     ends = open_ends.join(counts, "k", "left").groupBy("id").agg(*(F.max(F.when(F.col("fallback") == n, verdict)).alias(c) for n, c in enumerate(("by_trigram", "by_pair", "by_word"))))
     ends = ends.select("id", F.coalesce("by_trigram", "by_pair", "by_word", F.lit(True)).alias("cut"))
 
-    lengths = head.groupBy("source", "len").agg(F.count("*").alias("n"))
+    lengths = head.filter("long").groupBy("source", "len").agg(F.count("*").alias("n"))
     near = lengths.select("source", F.explode(F.sequence(F.col("len") - 20, F.col("len") + 20)).alias("len"), F.col("n").alias("m"))
     near = near.groupBy("source", "len").agg(F.sum("m").alias("around"))
     usual = (F.col("around") - F.col("n")) / 40
     piles = lengths.filter(F.col("n") >= pile).join(near, ["source", "len"]).filter(F.col("n") > pile_factor * usual + 3 * F.sqrt(usual + 1))
     piles = piles.select(F.col("source").alias("ps"), F.col("len").alias("pl"), F.lit(True).alias("piled"))
 
-    out = head.select("id", "source", "len", "stopped", "seen").join(ends, "id", "left").join(piles, (F.col("source") == F.col("ps")) & (F.col("len") == F.col("pl")), "left")
+    out = head.select("id", "source", "len", (F.col("stopped") | ~F.col("long")).alias("stopped"), "seen").join(ends, "id", "left").join(piles, (F.col("source") == F.col("ps")) & (F.col("len") == F.col("pl")), "left")
     return out.select("id", "source", F.coalesce("seen", F.when(F.col("cut"), "trigram"), F.when(F.col("piled") & ~F.col("stopped"), "length")).alias("reason"))
 
 

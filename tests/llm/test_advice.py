@@ -4,7 +4,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from folioweave.llm import canon, exact, linkage, names
+from folioweave.llm import canon, exact, linkage, names, truncation
 
 
 def test_slips_of_rare_words_reach_the_name_pass(spark):
@@ -57,3 +57,11 @@ def test_decomposed_letters_of_any_kind_are_composed(spark):
     got = {r.paper_id: r.c for r in df.select("paper_id", canon.canonical_characters(F.col("title")).alias("c")).collect()}
     assert [t for i, t in enumerate(titles) if not got[2 * i] == got[2 * i + 1] == unicodedata.normalize("NFC", t)] == []
     assert {tuple(r) for r in exact.found(df).collect()} == {(2 * i, 2 * i + 1) for i in range(len(titles))}
+
+
+def test_short_texts_are_judged_by_visible_cuts(spark):
+    rows = [(1, "We study the slow …", "a"), (2, "Plants grow [truncated]", "a"), (3, "A short note.", "a"), (4, "An editorial", "a"), (5, "No abstract available.", "a"), (6, "...", "a"), (7, "<p>N/A</p>", "a"), (8, None, "a")]
+    df = spark.createDataFrame(rows, "paper_id bigint, abstract string, source string")
+    got = {r.id: r.reason for r in truncation.judged(df, "abstract", "paper_id", "source").collect()}
+    assert got == {1: "ellipsis", 2: "remark", 3: None, 4: None}
+    assert [tuple(r) for r in truncation.rates(truncation.judged(df, "abstract", "paper_id", "source")).collect()] == [("a", 4, 2, 0.5)]
