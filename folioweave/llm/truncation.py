@@ -1,19 +1,24 @@
 """Texts cut off by field limits: final word trigrams against the same trigrams inside texts, in Spark SQL.
 
-Every text is reduced to words with sentence ends kept as a mark.  For each trigram of the
-corpus two counts are taken over all texts: inside a sentence and before a sentence end.  A
-text that ends without a sentence end is cut if its last trigram is frequent inside sentences but almost never
-terminal; an unseen trigram is judged by its last two words, an unseen pair by its last word,
-and a last word that the corpus does not know as a word is a word cut short.  Notes behind
-the text (rights, key words, class numbers, links) are taken off first.
-
-Three kinds of cut leave no such trace and are read off the text itself: remains of a tag, an
-entity, a multi-byte character or an open bracket; an ellipsis or a remark that the text was
-cut; and texts of one source that pile up at one exact length without a final full stop.
-
-Cases: NULL, empty and blank texts and texts of fewer than ``least_words`` words are not
-judged (a filler is none); texts may have any length; repeated texts are judged alike; an
-empty table gives an empty result; other columns are not read.
+Every text is reduced to words with sentence ends kept as a mark; notes behind the text (rights, key words, class
+numbers, links) and what a cut leaves visible (an ellipsis, a remark, half a tag, entity or character) are taken off
+first; words in brackets are counted apart from those around.  Over all texts each trigram is counted inside a sentence and before a sentence end.  A text that ends without a
+sentence end is cut if its last trigram is frequent inside sentences but almost never terminal.  Where a trigram is too
+rare to say, shorter contexts are asked in turn, each with counts of its own:
+
+  pair        the last two words;
+  stem        the last word as the beginning of longer words, against its own uses: a word cut short;
+  place       how often a sentence ends one word behind the two words before the last;
+  word        the last word;
+  behind      how often a sentence ends one word behind the word before the last;
+  rate        how often any word ends a sentence.
+
+What the counts can't say is reported apart: ``mark`` for a visible cut at a place where sentences may end, and
+``length`` for texts of one source that pile up at one exact length without a final full stop.
+
+Cases: NULL, empty and blank texts and texts that stand for a missing one are not judged; a text of fewer than
+``least_words`` words counts nowhere and is judged by visible cuts alone; texts may have any length; repeated texts are
+judged alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,85 +26,95 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioweave.llm.canon import is_filler
+from folioweave.operators.joins import skew_safe_left_join
 from folioweave.session import materialise
 
 # Words by which providers remark that they cut a text.
 _REMARK = "cut|truncated|shortened|abridged|continued|continues|read more|see more|more"
-_TAIL_NOTE = r"(?i)(\s*(©[^.]{0,80}|\(c\) [^.]{0,80}|keywords:[^.]{0,300}|msc:[^.]{0,120}|pacs [0-9. ,a-z+-]{1,60}|code: \S+|registered as \S+)\.?)+$"
-
-_NOTE = 500
+# Notes that stand behind a text.
+_NOTE = r"(?i)(\s*(©[^.]{0,80}|\(c\) [^.]{0,80}|keywords:[^.]{0,300}|msc:[^.]{0,120}|pacs [0-9. ,a-z+-]{1,60}|code: \S+|registered as \S+|deposit id: \d+)\.?)+$"
+# What a cut may leave behind the last word: a remark, an ellipsis, half a character, tag or entity, punctuation.
+_REMAINS = (
+    rf"(?:…|\.\.\.|[\[(<])[^.\[(<]{{0,40}}\b(?:{_REMARK})\b[^.\])>]{{0,30}}[\])>]?",
+    r"[\[(]?(?:…|\.\.\.)[\])]?",
+    r"\ufffd++",
+    r"</?(?:[A-Za-z][^<>]{0,40})?",
+    r"&#?\w{0,8}",
+    r"[,:;=–-]",
+)
+_STRIPPED = rf"(?i)(?:[\s\"”]*(?:{'|'.join(_REMAINS)}))+[\s\"”]*$"
+_VISIBLE = rf"{_STRIPPED}|[(\[][^()\[\]]{{0,120}}$"  # an open bracket stays: its words are counted
+_TAIL = 500  # characters at the end in which notes and remains are looked for
+LEVELS = ("trigram", "pair", "stem", "place", "word", "behind", "rate")
 
 
 def _clean(text: Column) -> Column:
     """Markup and quotes around the whole text removed, entities replaced."""
     t = F.when(text.rlike("[<&]"), F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"</?[A-Za-z][^<>]{0,200}>", " "), "&amp;", "&"), r"&#?\w{1,8};", " ")).otherwise(text)
-    return F.regexp_replace(t, r"^[\s\"“”«»​ ]+|[\s\"“”«»​ ]+$", "")
-
-
-def _visible_cut(clean: Column) -> Column:
-    """Why a text is cut, as far as its own characters say it; NULL if they do not."""
-    tail = F.right(clean, F.lit(160))
-    return (
-        F.when(tail.rlike(r"(?:…|\.\.\.)[\s\"”]*$"), "ellipsis")
-        .when(clean.rlike(r"^(?:…|\.\.\.)"), "ellipsis")
-        .when(F.right(clean, F.lit(60)).rlike(rf"(?i)(?:…|\.\.\.|[\[(<])[^.\[(<]{{0,40}}\b(?:{_REMARK})\b[^.\])>]{{0,30}}[\])>]?$"), "remark")
-        .when(tail.rlike("�+$"), "character")
-        .when(tail.rlike(r"<[^<>]{0,40}$"), "tag")
-        .when(tail.rlike(r"&#?\w{0,8}$"), "entity")
-        .when(tail.rlike(r"[(\[][^()\[\]]{0,120}$"), "bracket")
-        .when(tail.rlike(r"[,:;(\[=–-]$"), "punctuation")
-    )
+    return F.regexp_replace(t, r"^[\s\"“”«»​ ]+|[\s\"“”«»​ ]+$", "")
+
+
+_BRACKETED, _WORD = r"[(\[][^()\[\]]{0,200}[)\]]", r"[\p{L}\p{M}0]+(?:[.,:/-]0[\p{L}0]*|-\p{L}+0[\p{L}0]*)*"
 
 
 def _words(clean: Column) -> Column:
-    """Lower-case words with | for a sentence end and # for whatever has a digit; bracketed remarks and addresses left out."""
-    t = F.lower(clean)
-    t = F.regexp_replace(t, r"[(\[][^()\[\]]{0,200}[)\]]|https?://\S+", "")
-    t = F.regexp_replace(t, r"\s+(?=[.!?])", "")
-    t = F.regexp_replace(t, r"(?<![\p{L}-])[\p{L}-]*+\d[\p{L}\d]*+(?:[.,:/-][\p{L}\d]++)*+", "#")
-    t = F.regexp_replace(t, r"[.!?]+(?=\s|$)", " | ")
-    return F.split(F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}#|]+", " ")), " ")
+    """Lower-case words with | for a sentence end and # for whatever has a digit; addresses left out.
 
+    The words of brackets come first, between ( and ), so that what is around a bracket is counted as if it were not there;
+    a bracket left open stays where it is.
+    """
+    t = F.translate(F.lower(clean), "123456789", "000000000")
+    pieces = F.regexp_extract_all(t, F.lit(rf"{_BRACKETED}|https?://\S+|{_WORD}|[.!?]+(?=\s|$)|[(\[]"), F.lit(0))
+    first = lambda x: F.left(x, F.lit(1))
+    closed = lambda x: first(x).isin("(", "[") & (F.length(x) > 1)
+    kind = lambda x: F.when(closed(x) | x.contains("://"), "").when(first(x).isin(".", "!", "?"), "|").when(x.contains("0"), "#").when(x == "[", "(").otherwise(x)
+    within = F.regexp_extract_all(F.array_join(F.filter(pieces, closed), " "), F.lit(rf"{_WORD}|[()\[\]]"), F.lit(0))
+    held = lambda x: F.when(x.contains("0"), "#").when(x == "[", "(").when(x == "]", ")").otherwise(x)
+    return F.concat(F.transform(within, held), F.array(F.lit("|")), F.array_remove(F.transform(pieces, kind), ""))
 
-def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words: int = 12, least_seen: int = 3, terminal_share: float = 0.05, word_share: float = 0.5, pile: int = 8, pile_factor: float = 4.0) -> DataFrame:
-    """(id, source, reason): each judged text; ``reason`` is NULL for a complete one.
 
-    Texts that stand for a missing one are left out; a text of fewer than ``least_words``
-    words is judged by visible cuts alone.
+def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words: int = 12, least_seen: int = 3, terminal_share: float = 0.05, word_share: float = 0.5, pile: int = 8, pile_factor: float = 4.0) -> DataFrame:
+    """(id, source, reason): each judged text; ``reason`` is NULL for a complete one, else the level that told.
 
-    ``least_seen`` is the support below which a trigram says nothing, ``terminal_share`` the
-    share of terminal uses under which it counts as never terminal (``word_share`` for a last
-    word alone, which says less), ``pile`` and
+    ``least_seen`` is the support below which counts say nothing, ``terminal_share`` the share of terminal uses under
+    which a context counts as never terminal (``word_share`` for a last word alone, which says less), ``pile`` and
     ``pile_factor`` what makes a pile of equal lengths against the 20 lengths on either side.
     """
     base = texts.select(F.col(record_id).alias("id"), F.col(source).alias("source"), F.length(text).alias("len"), _clean(F.col(text)).alias("c"), is_filler(F.col(text)).alias("filler"))
-    base = base.filter(F.col("c").isNotNull() & ~F.col("filler")).withColumn("long", F.size(F.split("c", r"\s+", least_words)) >= least_words)
-    stopped = F.right("c", F.lit(20)).rlike(r"[.!?][\"'’”»)\]]*$")
-    size = F.length("c")
-    body = F.concat(F.left("c", size - _NOTE), F.regexp_replace(F.right("c", F.lit(_NOTE)), _TAIL_NOTE, ""))  # only the end can be a note
-    head = base.select("id", "source", "len", "long", stopped.alias("stopped"), _visible_cut(F.col("c")).alias("seen"), body.alias("body"))
-    complete = F.right("body", F.lit(20)).rlike(r"[.!?)\]][\"'’”»)\]]*$")
-    head = head.select("id", "source", "len", "long", "stopped", "seen", complete.alias("complete"), F.array_join(_words(F.col("body")), " ").alias("s"))
-    head = materialise(head)
+    base = base.filter(F.col("c").isNotNull() & ~F.col("filler")).withColumn("tail", F.right("c", F.lit(_TAIL)))
+    base = base.withColumn("remains", F.col("tail").rlike(_VISIBLE))
+    base = base.withColumn("end", F.regexp_replace(F.when(F.col("remains"), F.regexp_replace("tail", _STRIPPED, "")).otherwise(F.col("tail")), _NOTE, ""))
+    stopped = ~F.col("remains") & ((F.length("end") < F.length("tail")) | F.right("tail", F.lit(20)).rlike(r"[.!?][\"'’”»)\]]*$"))
+    complete = F.right("end", F.lit(20)).rlike(r"[.!?)\]][\"'’”»)\]]*$")
+    head = base.select(
+        "id", "source", "len", stopped.alias("stopped"), complete.alias("complete"), (F.col("remains") | F.col("c").rlike(r"^[\[(]?(?:…|\.\.\.)")).alias("seen"),
+        F.array_join(_words(F.concat(F.left("c", F.length("c") - _TAIL), F.col("end"))), " ").alias("s"),
+    )
+    head = materialise(head.withColumn("long", F.size(F.split("s", " ", least_words + 1)) > least_words))
     w = head.filter("long").withColumn("w", F.split("s", " "))
 
-    # every position of every text, as a trigram, a pair and a word
+    # every position of every text, in each of its contexts
     following = F.get("w", F.col("i"))
     at = w.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).filter(F.get("w", F.col("i") - 1) != "|")
     at = at.select(
-        F.explode(_keys(F.col("i"))).alias("k"),
+        F.explode(_contexts(F.col("i"))).alias("k"),
         F.when(following != "|", 1).otherwise(0).alias("inside"),
         F.when(following == "|", 1).otherwise(0).alias("ended"),
     )
     counts = at.groupBy("k").agg(F.sum("inside").alias("inside"), F.sum("ended").alias("ended"))
-
-    open_ends = w.filter(~F.col("complete") & F.col("seen").isNull())
-    open_ends = open_ends.select("id", F.posexplode(_keys(F.size("w"))).alias("fallback", "k"))
-    total = F.col("inside") + F.col("ended")
-    share = F.when(F.col("fallback") < 2, terminal_share).otherwise(word_share)
-    verdict = F.when(total >= least_seen, F.col("ended") < share * total)
-    ends = open_ends.join(counts, "k", "left").groupBy("id").agg(*(F.max(F.when(F.col("fallback") == n, verdict)).alias(c) for n, c in enumerate(("by_trigram", "by_pair", "by_word"))))
-    ends = ends.select("id", F.coalesce("by_trigram", "by_pair", "by_word", F.lit(True)).alias("cut"))
+    counts = counts.withColumn("total", F.col("inside") + F.col("ended")).withColumn("size", F.col("total"))
+
+    opened = w.filter(~F.col("complete") & (F.element_at("w", -1) != "|")).select("id", "w")
+    asked = opened.select("id", F.posexplode(_contexts(F.size("w"))).alias("level", "k"))
+    share = F.when(F.col("level") < 3, terminal_share).otherwise(word_share)  # trigram, pair, place
+    told = F.when(F.col("total") >= least_seen, F.col("ended") < share * F.col("total"))
+    told = F.when(F.col("level") == 2, F.when(told, True)).otherwise(told)  # where sentences may end, a place says nothing
+    levels = ("trigram", "pair", "place", "word", "behind", "rate")
+    met = skew_safe_left_join(asked, counts, "k", F.xxhash64("id", "level"), "size").withColumn("told", told)
+    met = met.groupBy("id").agg(*(F.max(F.when(F.col("level") == n, F.col("told"))).alias(c) for n, c in enumerate(levels)))
+    met = met.join(_stems(w, opened, terminal_share, least_seen), "id", "left")
+    first = F.coalesce(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("level"), F.col(c).alias("cut"))) for c in LEVELS))
+    met = met.select("id", first.alias("told"))
 
     lengths = head.filter("long").groupBy("source", "len").agg(F.count("*").alias("n"))
     near = lengths.select("source", F.explode(F.sequence(F.col("len") - 20, F.col("len") + 20)).alias("len"), F.col("n").alias("m"))
@@ -108,14 +123,26 @@ def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words
     piles = lengths.filter(F.col("n") >= pile).join(near, ["source", "len"]).filter(F.col("n") > pile_factor * usual + 3 * F.sqrt(usual + 1))
     piles = piles.select(F.col("source").alias("ps"), F.col("len").alias("pl"), F.lit(True).alias("piled"))
 
-    out = head.select("id", "source", "len", (F.col("stopped") | ~F.col("long")).alias("stopped"), "seen").join(ends, "id", "left").join(piles, (F.col("source") == F.col("ps")) & (F.col("len") == F.col("pl")), "left")
-    return out.select("id", "source", F.coalesce("seen", F.when(F.col("cut"), "trigram"), F.when(F.col("piled") & ~F.col("stopped"), "length")).alias("reason"))
+    out = head.select("id", "source", "len", (F.col("stopped") | ~F.col("long")).alias("stopped"), "seen").join(met, "id", "left").join(piles, (F.col("source") == F.col("ps")) & (F.col("len") == F.col("pl")), "left")
+    return out.select("id", "source", F.coalesce(F.when(F.col("told.cut"), F.col("told.level")), F.when(F.col("seen"), "mark"), F.when(F.col("piled") & ~F.col("stopped"), "length")).alias("reason"))
 
 
-def _keys(i: Column) -> Column:
-    """Hashes of the three, two and one words of ``w`` that end at position ``i`` (from 1); places before the start count as empty."""
+def _contexts(i: Column) -> Column:
+    """Hashes of the contexts of the word of ``w`` at position ``i`` (from 1); places before the start count as empty."""
     back = lambda n: F.when(i > n, F.get("w", i - 1 - n)).otherwise("")
-    return F.array(F.xxhash64(back(2), back(1), back(0)), F.xxhash64(back(1), back(0)), F.xxhash64(back(0)))
+    none = F.lit("")
+    return F.array(F.xxhash64(back(2), back(1), back(0)), F.xxhash64(back(1), back(0)), F.xxhash64(F.lit("place"), back(2), back(1), none), F.xxhash64(back(0)), F.xxhash64(F.lit("behind"), back(1), none, none), F.lit(0).cast("long"))
+
+
+def _stems(w: DataFrame, opened: DataFrame, share: float, least_seen: int, longest: int = 40) -> DataFrame:
+    """(id, stem): TRUE for each text whose last word, of ``longest`` letters at most, is far more often the beginning of longer words."""
+    words = materialise(w.select(F.explode("w").alias("word")).filter(~F.col("word").isin("|", "#", "(", ")")).groupBy("word").agg(F.count("*").alias("n")))
+    last = opened.select("id", F.element_at("w", -1).alias("word"))
+    begins = F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(longest))), lambda n: F.left("word", n))
+    longer = words.filter(F.length("word") > 1).select(F.explode(begins).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("longer"))
+    told = last.select("word").distinct().join(longer, "word").join(words, "word", "left").withColumn("own", F.coalesce("n", F.lit(0)))
+    told = told.filter((F.col("longer") >= least_seen) & (F.col("own") < share * (F.col("own") + F.col("longer"))))
+    return skew_safe_left_join(last, told.select("word", F.lit(True).alias("stem"), F.col("longer").alias("size")), "word", F.col("id"), "size").select("id", "stem")
 
 
 def rates(verdicts: DataFrame) -> DataFrame:
