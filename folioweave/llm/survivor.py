@@ -1,13 +1,15 @@
 """One surviving record for each set of copies: votes for field values, unpivoted and pivoted back.
 
-Every copy votes in every field for the normalised value it holds, with the weight
-``trust of its source * 2 ** -(age / half life)``.  Ages count from a fixed day: another day
-would scale all weights alike.  Weights are summed per set, field and value; the value with the largest sum wins, ties going to the latest record, then to the
-smaller id.  A field may ask for the union of its values instead.
-
-Cases: a NULL value casts no vote, so a field nobody fills stays NULL; a NULL time counts as
-the oldest; repeated rows vote each; sets may hold a third of all rows, since the votes are
-summed map-side before the shuffle; an empty table gives an empty result.
+Every copy votes in every field for the normalised value it holds, with the weight ``trust of its source * 2 ** -(age /
+half life)``.  Weights are summed per set, field and value; the value with the largest sum wins, ties going to the latest
+record, then to the smaller id.  With a half life of 0, the limit of ever faster decay, only the votes of the latest moment
+count and trust decides among them.  Ages count from a fixed day: another day would scale all weights alike.  Along with
+the value comes the record that stands for it, the latest of those that voted for it.  A field may ask for the union of its
+values instead.
+
+Cases: a NULL value casts no vote, so a field nobody fills stays NULL; a NULL time counts as the oldest; repeated rows vote
+each; sets may hold a third of all rows, since votes are summed map-side before the shuffle; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -18,18 +20,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioweave.llm import exact, truncation
 from folioweave.llm.canon import doi_key, is_filler
+from folioweave.operators.resolve import PRIORITIES
 from folioweave.session import materialise
 
 # Days since 1970 to the day ages count from, 2020-01-01.
 _DAY = 18_262.0
+# White space and punctuation in which equal abstracts may differ.
+_SPACING = " \t\n\r.,;:()[]-"
+
+
+def trust(preferred: tuple[str, ...]) -> dict[str, float]:
+    """Weights between 1 and 2 from an order of preference, best first; sources it does not name weigh 1."""
+    return {name: 1 + (len(preferred) - i) / len(preferred) for i, name in enumerate(preferred)}
 
 
 @dataclass(frozen=True)
 class Field:
     """A field of the survivor: the value a copy votes for, as text, and how votes weigh.
 
-    ``trust`` maps source names to weights (1 where it names none); ``half_life_days`` is the
-    age at which a vote has lost half its weight; ``union`` keeps all values instead of one.
+    ``trust`` maps source names to weights (1 where it names none); ``half_life_days`` is the age at which a vote has lost
+    half its weight, 0 for the latest votes alone; ``union`` keeps all values instead of one.
     """
 
     name: str
@@ -40,48 +50,51 @@ class Field:
 
 
 def survivors(copies: DataFrame, fields: list[Field], set_id: str = "set_id", record_id: str = "id", source: str = "source", time: str = "fetched_at") -> DataFrame:
-    """One row per set: ``set_id`` and a text column for each field (a sorted array for a union)."""
+    """One row per set: ``set_id``, and for each field its text and ``<field>_id``, the record that stands for it (a sorted array alone for a union)."""
     age = F.lit(_DAY) - F.unix_micros(F.col(time).cast("timestamp")) / F.lit(86_400e6)
 
-    def weight(f: Field) -> Column:
-        decay = F.coalesce(F.pow(F.lit(2.0), -age / F.lit(f.half_life_days)), F.lit(0.0))
+    def vote(f: Field) -> Column:
+        decay = F.coalesce(F.pow(F.lit(2.0), -age / F.lit(f.half_life_days)), F.lit(0.0)) if f.half_life_days > 0 else F.lit(1.0)
         if not f.trust:
             return decay
         known = F.create_map(*(F.lit(x) for kv in f.trust.items() for x in kv))
-        best = F.array_max(F.transform(F.split(F.coalesce(F.col(source), F.lit("")), r"\s*,\s*"), lambda s: F.coalesce(F.try_element_at(known, s), F.lit(1.0))))
+        best = F.array_max(F.transform(F.split(F.coalesce(F.col(source), F.lit("")), r"\s*,\s*"), lambda s: F.coalesce(F.try_element_at(known, F.trim(s)), F.lit(1.0))))
         return best * decay
 
-    long = copies.select(
-        F.col(set_id).alias("set_id"), F.col(record_id).alias("id"), F.col(time).alias("time"),
-        F.inline(F.array(*(F.struct(F.lit(f.name).alias("field"), f.value.cast("string").alias("value"), weight(f).alias("vote")) for f in fields))),
-    ).filter("value IS NOT NULL")
-    votes = long.groupBy("set_id", "field", "value").agg(F.sum("vote").alias("vote"), F.max("time").alias("time"), F.min("id").alias("id"))
-    rank = F.struct(F.col("vote"), F.col("time"), -F.col("id"))
-    one = lambda f: F.max_by(F.when(F.col("field") == f.name, F.col("value")), F.when(F.col("field") == f.name, rank))
-    every = lambda f: F.array_sort(F.collect_set(F.when(F.col("field") == f.name, F.col("value"))))
+    def ballot(f: Field) -> Column:
+        at = F.lit(None).cast(copies.schema[time].dataType) if f.half_life_days > 0 else F.col(time)
+        return F.struct(F.lit(f.name).alias("field"), f.value.cast("string").alias("value"), vote(f).alias("vote"), at.alias("at"))
+
+    long = copies.select(F.col(set_id).alias("set_id"), F.col(record_id).alias("id"), F.col(time).alias("time"), F.inline(F.array(*map(ballot, fields)))).filter("value IS NOT NULL")
+    votes = long.groupBy("set_id", "field", "value", "at").agg(F.sum("vote").alias("vote"), F.max(F.struct("time", (-F.col("id")).alias("id"))).alias("last"))
+    rank = F.struct("at", "vote", "last")
+    mine = lambda f, c: F.when(F.col("field") == f.name, c)
+    one = lambda f: F.max_by(mine(f, F.struct("value", (-F.col("last.id")).alias("id"))), mine(f, rank))
+    every = lambda f: F.array_sort(F.collect_set(mine(f, F.col("value"))))
     # a union holds distinct values only: for sources, a list bounded by the number of sources
-    return votes.groupBy("set_id").agg(*((every(f) if f.union else one(f)).alias(f.name) for f in fields))
+    won = votes.groupBy("set_id").agg(*((every(f) if f.union else one(f)).alias(f.name) for f in fields))
+    return won.select("set_id", *(c for f in fields for c in ([F.col(f.name)] if f.union else [F.col(f"{f.name}.value").alias(f.name), F.col(f"{f.name}.id").alias(f"{f.name}_id")])))
 
 
 def found(papers: DataFrame) -> DataFrame:
     """(group_id, abstract_id, citations_id, doi, sources) for each set of two copies or more.
 
-    The two ids are votes for the record itself, so that the newest eligible record wins;
-    the DOI is voted on by all copies; the sources are a union.
+    Copies vote for the letters of their abstract if it is whole and genuine, for their count of citations and for their DOI;
+    for the first two the latest moment counts, as the query defines it.  The sources are a union.
     """
     sets = materialise(exact.members(papers))
     verdicts = materialise(truncation.judged(papers, "abstract", "paper_id", "source").filter("reason IS NOT NULL").select("id", F.lit(True).alias("cut")))
-    counted = F.col("citations_count") >= 0
-    slim = papers.select(F.col("paper_id").alias("id"), "source", "fetched_at", doi_key(F.col("doi")).alias("doi_bare"), (~is_filler(F.col("abstract"))).alias("genuine"), F.coalesce(counted, F.lit(False)).alias("counted"))
+    letters = F.md5(F.translate(F.lower("abstract"), _SPACING, ""))
+    slim = papers.select(F.col("paper_id").alias("id"), "source", "fetched_at", doi_key(F.col("doi")).alias("doi_bare"), F.when(~is_filler(F.col("abstract")), letters).alias("letters"), F.when(F.col("citations_count") >= 0, F.col("citations_count")).alias("count"))
     copies = sets.join(slim, "id").join(verdicts, "id", "left")
-    copies = copies.withColumn("name", F.explode(F.split(F.coalesce("source", F.lit("")), r"\s*,\s*")))
-    first = F.col("name") == F.trim(F.element_at(F.split(F.coalesce("source", F.lit("")), r"\s*,\s*"), 1))
-    whole = F.col("genuine") & ~F.coalesce("cut", F.lit(False))
+    names = F.transform(F.split(F.coalesce("source", F.lit("")), ","), lambda s: F.trim(s))
+    copies = copies.select("*", F.posexplode(names).alias("nth", "name"))
+    first = F.col("nth") == 0  # a record votes once, and names each of its sources
     fields = [
-        Field("abstract_id", F.when(first & whole, F.col("id"))),
-        Field("citations_id", F.when(first & F.col("counted"), F.col("id"))),
-        Field("doi", F.when(first, F.col("doi_bare"))),
-        Field("sources", F.nullif(F.trim(F.col("name")), F.lit("")), union=True),
+        Field("abstract", F.when(first & F.col("cut").isNull(), F.col("letters")), trust(PRIORITIES["abstract"]), 0.0),
+        Field("citations", F.when(first, F.col("count")), trust(PRIORITIES["abstract"]), 0.0),
+        Field("doi", F.when(first, F.col("doi_bare")), trust(PRIORITIES["doi"])),
+        Field("sources", F.nullif(F.col("name"), F.lit("")), union=True),
     ]
     out = survivors(copies, fields)
-    return out.select(F.col("set_id").alias("group_id"), F.col("abstract_id").cast("long").alias("abstract_id"), F.col("citations_id").cast("long").alias("citations_id"), F.coalesce("doi", F.lit("")).alias("doi"), F.array_join("sources", ",").alias("sources"))
+    return out.select(F.col("set_id").alias("group_id"), "abstract_id", "citations_id", F.coalesce("doi", F.lit("")).alias("doi"), F.array_join("sources", ",").alias("sources"))
