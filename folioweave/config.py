@@ -9,10 +9,13 @@ from pathlib import Path
 
 # Rows a request to each kind of source may ask for, the largest offset it allows (None: any), whether it hands out cursors.
 CAPABILITIES: dict[str, tuple[int, int | None, bool]] = {
-    "openalex": (200, 10_000, True), "semantic_scholar": (100, 1_000, False), "crossref": (1_000, None, True), "pubmed": (10_000, 10_000, False), "elsevier": (200, 5_000, True), "google_scholar": (20, None, False), "wos": (100, 100_000, False),
-    "arxiv": (2_000, None, True), "biorxiv": (100, None, True), "medrxiv": (100, None, True), "core": (100, None, True), "dblp": (1_000, None, True), "doaj": (100, None, True),
+    "openalex": (200, 10_000, True), "semantic_scholar": (100, 1_000, False), "crossref": (1_000, None, True), "pubmed": (10_000, 10_000, False), "elsevier": (200, 5_000, True), "google_scholar": (20, None, False), "google_scholar_scraper": (10, None, False), "wos": (100, 100_000, False),
+    "arxiv": (2_000, None, False), "biorxiv": (100, None, True), "medrxiv": (100, None, True), "core": (100, None, True), "dblp": (1_000, None, True), "doaj": (100, None, True),
 }
 
+# How many records a scan of all records of a source reads.
+SCAN_LIMITS = {"openalex": 10_000, "semantic_scholar": 1_000, "crossref": 10_000, "elsevier": 5_000, "google_scholar": 100, "pubmed": 10_000, "wos": 10_000, "dblp": 10_000, "doaj": 10_000, "core": 10_000}
+
 
 @dataclass
 class Config:
@@ -22,8 +25,8 @@ class Config:
     search_limit: int = 10
     citations_limit: int = 100
     recent_days: int = 7
-    default_scan_limit: int = 10_000
-    limits: dict[str, int] = field(default_factory=lambda: {"semantic_scholar": 1_000, "elsevier": 5_000, "google_scholar": 100})
+    default_scan_limit: int = 1_000
+    limits: dict[str, int] = field(default_factory=lambda: dict(SCAN_LIMITS))
 
     def scan_limit(self, source: str) -> int:
         return self.limits.get(source, self.default_scan_limit)

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Section kinds in the order they are tried, with the whole titles that name them.
-SECTION_KINDS = (
-    ("abstract", r"abstract|summary"),
-    ("introduction", r"(?:\d+\.?\s*)?introduction"),
-    ("methods", r"(?:\d+\.?\s*)?methods?|methodology|materials?\s+(?:and|&)\s+methods?|experimental(?:\s+(?:section|methods?))?"),
-    ("results", r"(?:\d+\.?\s*)?results?|findings|results?\s+(?:and|&)\s+discussion"),
-    ("discussion", r"(?:\d+\.?\s*)?discussion"),
-    ("conclusion", r"(?:\d+\.?\s*)?conclusions?|concluding\s+remarks?"),
-    ("references", r"(?:\d+\.?\s*)?references?|bibliography|literature\s+cited"),
-    ("acknowledgments", r"acknowledge?ments?"),
-)
+# Section kinds in the order they are tried, with the patterns of whole titles that name them.
+SECTION_KINDS = {
+    "abstract": (r"^abstract$", r"^summary$"),
+    "introduction": (r"^introduction$", r"^\d+\.?\s*introduction$"),
+    "methods": (r"^methods?$", r"^methodology$", r"^materials?\s*(and|&)\s*methods?$", r"^experimental\s*(section|methods?)?$", r"^\d+\.?\s*methods?$"),
+    "results": (r"^results?$", r"^findings$", r"^results?\s*(and|&)\s*discussion$", r"^\d+\.?\s*results?$"),
+    "discussion": (r"^discussion$", r"^\d+\.?\s*discussion$"),
+    "conclusion": (r"^conclusions?$", r"^concluding\s*remarks?$", r"^\d+\.?\s*conclusions?$"),
+    "references": (r"^references?$", r"^bibliography$", r"^literature\s*cited$", r"^\d+\.?\s*references?$"),
+    "acknowledgments": (r"^acknowledgm?ents?$", r"^acknowledgements?$"),
+}
 # Answers of a server after which a request is worth repeating.
 RETRYABLE = (429, 500, 502, 503, 504, 520, 521, 522, 523, 524)
 
@@ -22,8 +22,8 @@ RETRYABLE = (429, 500, 502, 503, 504, 520, 521, 522, 523, 524)
 def section_kind(title: Column) -> Column:
     """The kind of section a title names; NULL for none."""
     out = None
-    for kind, pattern in SECTION_KINDS:
-        hit = F.trim(title).rlike(rf"(?i)^(?:{pattern})$")
+    for kind, patterns in SECTION_KINDS.items():
+        hit = F.trim(title).rlike(f"(?i){'|'.join(patterns)}")
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out
 

@@ -23,13 +23,14 @@ _BLOCKS = (
     _LINES + rf", b AS (SELECT doc_id, ord, CASE WHEN lv > 0 THEN 'title' ELSE 'text' END AS type, CASE WHEN lv > 0 THEN {_strip(_UNMARKED)} ELSE line END AS content, lv AS level"
     r" FROM (SELECT *, length(regexp_extract(line, '^(#{1,6})\s+\S', 1)) AS lv FROM l WHERE line <> ''))"
 )
-_KINDS = (
-    ("abstract", "abstract|summary"), ("introduction", r"(\d+\.?\s*)?introduction"),
-    ("methods", r"(\d+\.?\s*)?methods?|methodology|materials?\s+(and|&)\s+methods?|experimental(\s+(section|methods?))?"),
-    ("results", r"(\d+\.?\s*)?results?|findings|results?\s+(and|&)\s+discussion"), ("discussion", r"(\d+\.?\s*)?discussion"), ("conclusion", r"(\d+\.?\s*)?conclusions?|concluding\s+remarks?"),
-    ("references", r"(\d+\.?\s*)?references?|bibliography|literature\s+cited"), ("acknowledgments", "acknowledge?ments?"),
-)
-_KIND = "CASE " + " ".join(f"WHEN regexp_matches(trim({{0}}), '(?i)^({p})$') THEN '{k}'" for k, p in _KINDS) + " END"
+_KINDS = {
+    "abstract": ("abstract", "summary"), "introduction": ("introduction", r"\d+\.?\s*introduction"),
+    "methods": ("methods?", "methodology", r"materials?\s*(and|&)\s*methods?", r"experimental\s*(section|methods?)?", r"\d+\.?\s*methods?"),
+    "results": ("results?", "findings", r"results?\s*(and|&)\s*discussion", r"\d+\.?\s*results?"), "discussion": ("discussion", r"\d+\.?\s*discussion"),
+    "conclusion": ("conclusions?", r"concluding\s*remarks?", r"\d+\.?\s*conclusions?"), "references": ("references?", "bibliography", r"literature\s*cited", r"\d+\.?\s*references?"),
+    "acknowledgments": ("acknowledgm?ents?", "acknowledgements?"),
+}
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(trim({{0}}), '(?i)^({'|'.join(p)})$') THEN '{k}'" for k, p in _KINDS.items()) + " END"
 _BARE = r"regexp_replace(content, '(?i)^abstract[\s:.—–-]*', '')"
 _SECTIONS = (
     _BLOCKS + ", s AS (SELECT *, sum(CASE WHEN type = 'title' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS section FROM b)"
@@ -196,15 +197,19 @@ def statements() -> dict[str, str]:
         "abstract_finder": f"WITH {_BLOCKS} SELECT doc_id, md5(coalesce(first({_strip(_BARE)} ORDER BY ord) FILTER (WHERE type = 'text' AND starts_with(lower(content), 'abstract')), CASE WHEN length(first(content ORDER BY ord) FILTER (WHERE type = 'text' AND length(content) > 50)) < 2000 THEN first(content ORDER BY ord) FILTER (WHERE type = 'text' AND length(content) > 50) END)) AS abstract_md5 FROM b GROUP BY 1",
         "stream_first_seen": f"WITH {_KEYED} SELECT DISTINCT key_kind, key FROM keyed",
         "dedup_merge": (
-            f"WITH {_KEYED}, {_KEYWORDS}, m AS (SELECT key_kind, key, min(ord) AS first_ord, count(*) AS n, first(title ORDER BY ord) FILTER (WHERE title <> '') AS title, "
+            f"WITH {_KEYED}, {_KEYWORDS}, m AS (SELECT key_kind, key, min(ord) AS first_ord, count(*) AS n, coalesce(first(title ORDER BY ord) FILTER (WHERE title <> ''), first(title ORDER BY ord)) AS title, "
             + ", ".join((
                 _best("doi", ("crossref", "openalex", "semantic_scholar", "pubmed", "wos")), _best("abstract", ("semantic_scholar", "openalex", "pubmed", "crossref", "core")),
                 _best("journal", ("crossref", "openalex", "pubmed", "semantic_scholar")), _best("year", ("crossref", "openalex", "pubmed", "semantic_scholar"), "int"),
                 _best("pdf_url", ("core", "openalex", "semantic_scholar", "doaj", "arxiv", "biorxiv")), _best("url", ()), _authors(),
             ))
-            + ", max(citations_count) AS citations_count, max(references_count) AS references_count, CASE WHEN count(*) = 1 THEN first(open_access) ELSE coalesce(bool_or(open_access), false) END AS open_access, array_to_string(list_sort(list(DISTINCT source)), ',') AS source"
+            + ", max(citations_count) AS citations_count, max(references_count) AS references_count, coalesce(bool_or(open_access), false) AS open_access, array_to_string(list_sort(list(DISTINCT source)), ',') AS source"
             " FROM (SELECT *, list_transform(string_split(source, ','), lambda s: trim(s)) AS ss FROM keyed) GROUP BY 1, 2)"
-            f" SELECT key_kind, key, first_ord, n, title, doi, abstract, journal, year, pdf_url, url, array_to_string({_PICK}, '|') AS authors, citations_count, references_count, open_access, source, coalesce(keywords, '') AS keywords FROM m LEFT JOIN k3 USING (key_kind, key)"
+            f", fused AS (SELECT key_kind, key, first_ord, n, title, doi, abstract, journal, year, pdf_url, url, array_to_string({_PICK}, '|') AS authors, citations_count, references_count, open_access, source, coalesce(keywords, '') AS keywords FROM m LEFT JOIN k3 USING (key_kind, key))"
+            # a record alone is no merger: it stays as it was read
+            " SELECT key_kind, key, first_ord, n, title, doi, abstract, journal, year, pdf_url, url, authors, citations_count, references_count, open_access, source, keywords FROM fused WHERE n > 1"
+            " UNION ALL SELECT key_kind, key, ord, 1, title, doi, abstract, journal, year, pdf_url, url, array_to_string(authors, '|'), citations_count, references_count, open_access, source, array_to_string(keywords, '|')"
+            " FROM (SELECT *, count(*) OVER (PARTITION BY key_kind, key) AS copies FROM keyed) WHERE copies = 1"
         ),
         "ris_export": (
             "SELECT paper_id, concat_ws(chr(10), CASE WHEN coalesce(journal, '') <> '' THEN 'TY  - JOUR' ELSE 'TY  - GEN' END, 'TI  - ' || nullif(title, ''), nullif(array_to_string(list_transform(authors, lambda x: 'AU  - ' || x), chr(10)), ''),"

@@ -33,9 +33,11 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_all(records: DataFrame, source: str, most: int | None = None, config: Config | None = None, ord: str = "ord") -> DataFrame:
-    """The first records of a source, as many as asked for and as its limit allows."""
+    """The first records of a source, as many as asked for and as its limit allows; beyond its largest offset only with cursors."""
     limit = (config or Config()).scan_limit(source)
-    return records.orderBy(ord).limit(min(most, limit) if most is not None else limit)
+    limit = min(most, limit) if most is not None else limit
+    _, reach, cursors = CAPABILITIES[source]
+    return records.orderBy(ord).limit(limit if cursors or reach is None else min(limit, reach))
 
 
 def after(records: DataFrame, cursor: int | None, size: int, ord: str = "ord") -> DataFrame:
@@ -52,6 +54,12 @@ def offset_page(records: DataFrame, source: str, offset: int, limit: int, ord: s
     return records.orderBy(ord).offset(offset).limit(min(limit, size))
 
 
+def numbered_page(records: DataFrame, offset: int, limit: int, ord: str = "ord") -> DataFrame:
+    """The page that holds the row at ``offset``, for services that count pages of ``limit`` rows instead of rows."""
+    size = max(limit, 1)
+    return records.orderBy(ord).offset(offset // size * size).limit(limit)
+
+
 def citations(records: DataFrame, form: str, ord: str = "ord") -> DataFrame:
     """(ord, entry): each record in a citation format; an unknown format is an error."""
     return records.select(ord, formatter(form)(F.col).alias("entry"))

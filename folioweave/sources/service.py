@@ -21,27 +21,30 @@ def _canonical(rows: DataFrame, record_id: str, source: str, **columns: Column)
     return out.withColumn("authors", F.coalesce("authors", _empty())).withColumn("keywords", F.coalesce("keywords", _empty())).filter("title IS NOT NULL AND title <> ''")
 
 
-def _joined(xml: str, path: str) -> Column:
-    return F.expr(f"array_join(xpath({xml}, '{path}'), ' ')")
-
-
 def pubmed_articles(pages: DataFrame, record_id: str, xml: str) -> DataFrame:
     """A row for each article element: one a row of ``pages``.
 
-    Labelled parts of an abstract are joined, a collective author counts, the year falls back
-    to a free date, a full-text archive number gives the PDF address and open access.
+    Parts of an abstract are joined, each behind its label if it has one, with the text of the
+    elements inside them; an author is a group's name, or the given name, else the initials, and
+    the family name; the year falls back to a free date, a full-text archive number gives the PDF address and open access.
     """
-    people = F.expr(f"xpath({xml}, '//AuthorList/Author/LastName/text()')")
-    fore = F.expr(f"xpath({xml}, '//AuthorList/Author[LastName]/*[self::ForeName or (self::Initials and not(../ForeName))]/text()')")
-    names = F.when(F.size(people) == F.size(fore), F.zip_with(fore, people, lambda f, l: F.concat_ws(" ", f, l))).otherwise(people)
-    groups = F.expr(f"xpath({xml}, '//AuthorList/Author/CollectiveName/text()')")
-    labels, parts = F.expr(f"xpath({xml}, '//Abstract/AbstractText/@Label')"), F.expr(f"xpath({xml}, '//Abstract/AbstractText/text()')")
-    abstract = F.when(F.size(labels) == F.size(parts), F.array_join(F.zip_with(labels, parts, lambda a, b: F.concat(a, F.lit(": "), b)), " ")).otherwise(F.array_join(parts, " "))
+    # each element is read by itself, so its own parts stay together and in order
+    elements = lambda tag, within: F.regexp_extract_all(within, F.lit(rf"(?s)<{tag}(?:\s[^<>]*)?(?<!/)>.*?</{tag}>"), F.lit(0))
+    inner = lambda x, path: strip(F.call_function("xpath_string", x, F.lit(path)))
+    has = lambda x, path: F.call_function("xpath_boolean", x, F.lit(path))
+    given = lambda x: F.when(has(x, "/Author/ForeName"), inner(x, "/Author/ForeName")).otherwise(inner(x, "/Author/Initials"))
+    single = lambda x: F.when(has(x, "/Author/LastName"), truthy(F.concat_ws(" ", truthy(given(x)), truthy(inner(x, "/Author/LastName")))))
+    person = lambda x: F.when(has(x, "/Author/CollectiveName"), inner(x, "/Author/CollectiveName")).otherwise(single(x))
+    listed = F.get(elements("AuthorList", F.col(xml)), F.lit(0))
+    names = F.filter(F.transform(elements("Author", listed), person), lambda n: n.isNotNull())
+    part = lambda x: F.when(truthy(inner(x, "/AbstractText")).isNotNull(), F.concat_ws(": ", truthy(F.call_function("xpath_string", x, F.lit("/AbstractText/@Label"))), inner(x, "/AbstractText")))
+    said = F.get(elements("Abstract", F.col(xml)), F.lit(0))
+    abstract = F.array_join(F.transform(elements("AbstractText", said), part), " ")
     archive = truthy(F.expr(f"xpath_string({xml}, '//ArticleIdList/ArticleId[@IdType=\"pmc\"]')"))
     at = lambda path: truthy(F.expr(f"xpath_string({xml}, '{path}')"))
     number = at("//PMID")
     return _canonical(
-        pages, record_id, "pubmed", title=truthy(strip(_joined(xml, "//ArticleTitle//text()"))), authors=F.concat(names, groups), abstract=truthy(abstract), doi=F.lower(at('//ArticleIdList/ArticleId[@IdType="doi"]')),
+        pages, record_id, "pubmed", title=truthy(strip(F.expr(f"xpath_string({xml}, '//ArticleTitle')"))), authors=names, abstract=truthy(abstract), doi=F.lower(at('//ArticleIdList/ArticleId[@IdType="doi"]')),
         year=F.coalesce(year_of(at("//JournalIssue/PubDate/Year")), year_of(at("//JournalIssue/PubDate/MedlineDate"))), journal=F.coalesce(at("//Journal/Title"), at("//Journal/ISOAbbreviation")), url=F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), number, F.lit("/")),
         pdf_url=F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/"), archive, F.lit("/pdf/")), open_access=archive.isNotNull(), keywords=F.slice(F.expr(f"xpath({xml}, '//MeshHeading/DescriptorName/text()')"), 1, 10),
     )

@@ -36,14 +36,14 @@ def test_urls(spark):
     assert one(spark, "https://x.test/a", urls.is_url) and not one(spark, "x.test/a", urls.is_url) and not one(spark, None, urls.is_url)
     assert one(spark, "https://x.test/A.PDF", urls.is_pdf_url) and one(spark, "https://x.test/pdf/1", urls.is_pdf_url) and not one(spark, "https://x.test/1", urls.is_pdf_url)
     for raw, want in {
-        "https://arxiv.org/abs/1706.03762v5": "https://arxiv.org/pdf/1706.03762.pdf", "https://arxiv.org/pdf/1706.03762": "https://arxiv.org/pdf/1706.03762.pdf", "https://www.biorxiv.org/content/10.1101/1/": "https://www.biorxiv.org/content/10.1101/1.full.pdf",
+        "https://arxiv.org/abs/2201.04567v5": "https://arxiv.org/pdf/2201.04567.pdf", "https://arxiv.org/pdf/2201.04567": "https://arxiv.org/pdf/2201.04567.pdf", "https://www.biorxiv.org/content/10.1101/1/": "https://www.biorxiv.org/content/10.1101/1.full.pdf",
         "https://www.ncbi.nlm.nih.gov/pmc/articles/PMC1": "https://www.ncbi.nlm.nih.gov/pmc/articles/PMC1/pdf/", "https://x.test/y": "https://x.test/y", "https://x.test/Y.pdf": "https://x.test/Y.pdf",
     }.items():
         assert one(spark, raw, urls.pdf_url) == want
-    assert one(spark, "https://arxiv.org/pdf/1706.03762.pdf", lambda c: urls.file_name(c, c)) == "arxiv_1706.03762"
+    assert one(spark, "https://arxiv.org/pdf/2201.04567.pdf", lambda c: urls.file_name(c, c)) == "arxiv_2201.04567"
     assert one(spark, "https://x.test/PMC77/", lambda c: urls.file_name(c, c)) == "pmc77"
     assert one(spark, "https://x.test/", lambda c: urls.file_name(c, c)).startswith("paper_")
-    assert one(spark, "arXiv:1706.03762v2", urls.normalize_arxiv_id) == "1706.03762v2" and one(spark, "x", urls.normalize_arxiv_id) is None
+    assert one(spark, "arXiv:2201.04567v2", urls.normalize_arxiv_id) == "2201.04567v2" and one(spark, "x", urls.normalize_arxiv_id) is None
 
 
 def test_scores(spark):
@@ -53,19 +53,19 @@ def test_scores(spark):
     assert [one(spark, i, score.backoff, "int") for i in (0, 1, 5, 9)] == [1, 2, 32, 60]
     assert one(spark, "12", score.retry_after) == 12 and one(spark, "soon", score.retry_after) is None
     assert one(spark, 503, score.retryable, "int") and not one(spark, 404, score.retryable, "int")
-    for raw, want in {"1. Introduction": "introduction", "METHODS": "methods", "Materials & Methods": "methods", "Results and Discussion": "results", "Acknowledgements": "acknowledgments", "Intro": None, "2 Methods": "methods"}.items():
+    for raw, want in {"1. Introduction": "introduction", "METHODS": "methods", "Materials & Methods": "methods", "Results and Discussion": "results", "Acknowledgements": "acknowledgments", "Intro": None, "2 Methods": "methods", "Materials&Methods": "methods", "Results&Discussion": "results", "ExperimentalSection": "methods", "literaturecited": "references", "acknowledgmnts": None}.items():
         assert one(spark, raw, score.section_kind) == want, raw
     assert one(spark, "University Hospital", score.institution_type) == "education"
 
 
-ROW = {"title": "Deep & wide", "authors": ["Yann LeCun", "Núria Ål"], "abstract": None, "doi": "10.1/x", "year": 2015, "journal": "Nature", "url": None, "pdf_url": None, "source": "crossref", "keywords": ["a", "b"]}
+ROW = {"title": "Deep & wide", "authors": ["Mara Quill", "Núria Ål"], "abstract": None, "doi": "10.1/x", "year": 2015, "journal": "Nature", "url": None, "pdf_url": None, "source": "crossref", "keywords": ["a", "b"]}
 DDL = "title string, authors array<string>, abstract string, doi string, year int, journal string, url string, pdf_url string, source string, keywords array<string>"
 
 
 def test_citations(spark):
     df = spark.createDataFrame([ROW], DDL)
-    assert df.select(cite.bibtex(F.col).alias("e")).first().e == "@article{lecun2015deep,\n    title = {Deep \\& wide},\n    author = {Yann LeCun and Núria Ål},\n    year = {2015},\n    journal = {Nature},\n    doi = {10.1/x},\n    keywords = {a, b}\n}"
-    assert df.select(cite.ris(F.col).alias("e")).first().e.split("\n") == ["TY  - JOUR", "TI  - Deep & wide", "AU  - Yann LeCun", "AU  - Núria Ål", "PY  - 2015", "JO  - Nature", "DO  - 10.1/x", "KW  - a", "KW  - b", "DB  - crossref", "ER  -"]
+    assert df.select(cite.bibtex(F.col).alias("e")).first().e == "@article{quill2015deep,\n    title = {Deep \\& wide},\n    author = {Mara Quill and Núria Ål},\n    year = {2015},\n    journal = {Nature},\n    doi = {10.1/x},\n    keywords = {a, b}\n}"
+    assert df.select(cite.ris(F.col).alias("e")).first().e.split("\n") == ["TY  - JOUR", "TI  - Deep & wide", "AU  - Mara Quill", "AU  - Núria Ål", "PY  - 2015", "JO  - Nature", "DO  - 10.1/x", "KW  - a", "KW  - b", "DB  - crossref", "ER  -"]
     xml = df.select(cite.endnote(F.col).alias("e")).first().e
     assert "<title>Deep &amp; wide</title>" in xml and xml.startswith("<record>\n    <ref-type name=\"Journal Article\">17") and "<urls>" not in xml
     empty = spark.createDataFrame([{k: None for k in ROW}], DDL)

@@ -32,6 +32,9 @@ def test_fusion_rules(spark):
 def test_singleton_and_comma_source(spark):
     (r,) = fuse(spark, paper(1, "arxiv", authors=None, open_access=None))
     assert r.open_access is None and r.authors is None and r.keywords == []
+    words = [f" Word {i}" for i in range(28)] + ["word 1"]
+    (r,) = fuse(spark, paper(7, "arxiv, core", abstract="", year=0, title="", keywords=words, url=" u "))
+    assert (r.abstract, r.year, r.title, r.keywords, r.source, r.url, r.n) == ("", 0, "", words, "arxiv, core", " u ", 1)
     (r,) = fuse(spark, paper(1, "wos,crossref", journal="J1"), paper(2, "openalex", journal="J2"))
     assert r.journal == "J1" and r.open_access is False
 
@@ -41,6 +44,18 @@ def test_keys_never_mix(spark):
     assert sorted((r.key_kind, r.n) for r in rows) == [("doi", 1), ("title", 2)]
 
 
+def test_first_records(spark):
+    df = spark.createDataFrame([paper(3, "b", title="Late"), paper(1, "a", title="Early", year=0), paper(2, "c", doi="10.1/Z")], DDL)
+    assert {(r.ord, r.title, r.year) for r in resolve.first_records(df).collect()} == {(1, "Early", 0), (2, "T", None)}
+
+
+def test_authors_of_unlisted_sources(spark):
+    (r,) = fuse(spark, paper(1, "core", authors=["a"]), paper(2, "arxiv", authors=["b", "c"]), paper(3, "dblp", authors=["d", "e"]), paper(4, "pubmed", authors=None, title=""))
+    assert r.authors == ["b", "c"]
+    (r,) = fuse(spark, paper(1, "core", authors=None, title=""), paper(2, "pubmed", authors=[], title=""))
+    assert r.authors is None and r.title == ""
+
+
 def test_empty(spark):
     assert fuse(spark) == []
 

@@ -1,7 +1,7 @@
 import json
 
 from folioweave import config
-from folioweave.sources import people, service
+from folioweave.sources import files, people, service
 
 
 def rows(spark, *payloads):
@@ -17,11 +17,27 @@ def test_pubmed(spark):
     assert r.pdf_url.endswith("/PMC7/pdf/")
 
 
+def test_pubmed_elements_by_themselves(spark):
+    xml = """<PubmedArticle><MedlineCitation><PMID>3</PMID><Article><ArticleTitle>T</ArticleTitle><Abstract><AbstractText Label="AIM">See <i>E. coli</i> grow.</AbstractText><AbstractText>Rest.</AbstractText><AbstractText/></Abstract>
+    <AuthorList><Author><LastName>Doe</LastName><ForeName>Jane</ForeName></Author><Author><CollectiveName>The Team</CollectiveName></Author><Author><LastName>Plato</LastName></Author><Author><LastName>Ott</LastName><Initials>B</Initials></Author><Author><ForeName>Nobody</ForeName></Author></AuthorList></Article></MedlineCitation></PubmedArticle>"""
+    r = service.pubmed_articles(rows(spark, xml), "i", "raw").first()
+    assert (r.authors, r.abstract) == (["Jane Doe", "The Team", "Plato", "B Ott"], "AIM: See E. coli grow. Rest.")
+
+
+def test_limits(spark):
+    assert [config.Config().scan_limit(s) for s in ("openalex", "semantic_scholar", "arxiv", "google_scholar_scraper")] == [10_000, 1_000, 1_000, 1_000]
+    assert config.CAPABILITIES["arxiv"] == (2_000, None, False) and config.CAPABILITIES["google_scholar_scraper"] == (10, None, False)
+    many = spark.range(30_000).withColumnRenamed("id", "ord")
+    wide = config.Config(limits={"pubmed": 20_000, "openalex": 20_000})
+    assert files.scan_all(many, "pubmed", config=wide).count() == 10_000 and files.scan_all(many, "openalex", config=wide).count() == 20_000
+    assert [r.ord for r in files.numbered_page(many, 25, 10).collect()] == list(range(20, 30))
+
+
 def test_arxiv(spark):
-    xml = """<entry xmlns="http://www.w3.org/2005/Atom"><id>http://arxiv.org/abs/1706.03762v5</id><published>2017-06-12T00:00:00Z</published><title>Attention
-      is all</title><summary> s </summary><author><name>A B</name></author><author><name>C D</name></author><link title="doi" href="http://dx.doi.org/10.1/Y"/><category term="cs.CL"/></entry>"""
+    xml = """<entry xmlns="http://www.w3.org/2005/Atom"><id>http://arxiv.org/abs/2201.04567v5</id><published>2022-06-12T00:00:00Z</published><title>Lanterns
+      at sea</title><summary> s </summary><author><name>A B</name></author><author><name>C D</name></author><link title="doi" href="http://dx.doi.org/10.1/Y"/><category term="cs.CL"/></entry>"""
     r = service.arxiv_entries(rows(spark, xml), "i", "raw").first()
-    assert (r.title, r.authors, r.abstract, r.year, r.doi, r.journal, r.pdf_url, r.keywords) == ("Attention is all", ["A B", "C D"], "s", 2017, "10.1/y", "arXiv:cs.CL", "https://arxiv.org/pdf/1706.03762.pdf", ["cs.CL"])
+    assert (r.title, r.authors, r.abstract, r.year, r.doi, r.journal, r.pdf_url, r.keywords) == ("Lanterns at sea", ["A B", "C D"], "s", 2022, "10.1/y", "arXiv:cs.CL", "https://arxiv.org/pdf/2201.04567.pdf", ["cs.CL"])
 
 
 def test_service_json(spark):
