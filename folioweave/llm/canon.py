@@ -62,8 +62,10 @@ def doi_key(doi: Column) -> Column:
 
 def is_filler(text: Column) -> Column:
     """Whether a text holds no abstract: blank, only markup, or a stock phrase."""
-    bare = F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, r"<[^<>]*>", "")), r"^[\s\[(]+|[\s\]).]+$", ""))
-    return text.isNull() | (bare == "") | bare.isin(*FILLERS)
+    shown = F.trim(F.when(text.contains("<"), F.regexp_replace(text, r"<[^<>]*>", "")).otherwise(text))
+    bare = F.trim(F.regexp_replace(F.lower(shown), r"^[\s\[(]+|[\s\]).]+$", ""))
+    longest = 3 * max(map(len, FILLERS))  # with what may stand around a phrase
+    return text.isNull() | F.when(F.length(shown) > longest, F.lit(False)).otherwise((bare == "") | bare.isin(*FILLERS))
 
 
 def fingerprint(*parts: Column) -> Column:

@@ -23,6 +23,8 @@ judged alike; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioweave.llm.canon import is_filler
@@ -31,8 +33,9 @@ from folioweave.session import materialise
 
 # Words by which providers remark that they cut a text.
 _REMARK = "cut|truncated|shortened|abridged|continued|continues|read more|see more|more"
-# Notes that stand behind a text.
-_NOTE = r"(?i)(\s*(©[^.]{0,80}|\(c\) [^.]{0,80}|keywords:[^.]{0,300}|msc:[^.]{0,120}|pacs [0-9. ,a-z+-]{1,60}|code: \S+|registered as \S+|deposit id: \d+)\.?)+$"
+# Notes that stand behind a text, by the words they begin with.
+_NOTES = {"©": "©[^.]{0,80}", "(c) ": r"\(c\) [^.]{0,80}", "keywords:": "keywords:[^.]{0,300}", "msc:": "msc:[^.]{0,120}", "pacs ": "pacs [0-9. ,a-z+-]{1,60}", "code: ": r"code: \S+", "registered as ": r"registered as \S+", "deposit id: ": r"deposit id: \d+"}
+_NOTE = rf"(?i)(?:(?:{'|'.join(_NOTES.values())})\.?\s*)+$"
 # What a cut may leave behind the last word: a remark, an ellipsis, half a character, tag or entity, punctuation.
 _REMAINS = (
     rf"(?:…|\.\.\.|[\[(<])[^.\[(<]{{0,40}}\b(?:{_REMARK})\b[^.\])>]{{0,30}}[\])>]?",
@@ -42,8 +45,9 @@ _REMAINS = (
     r"&#?\w{0,8}",
     r"[,:;=–-]",
 )
-_STRIPPED = rf"(?i)(?:[\s\"”]*(?:{'|'.join(_REMAINS)}))+[\s\"”]*$"
+_STRIPPED = rf"(?i)(?:{'|'.join(_REMAINS)})(?:[\s\"”]*(?:{'|'.join(_REMAINS)}))*[\s\"”]*$"
 _VISIBLE = rf"{_STRIPPED}|[(\[][^()\[\]]{{0,120}}$"  # an open bracket stays: its words are counted
+_AROUND = " \t\n\v\f\r\u00a0\u200b\"“”«»"
 _TAIL = 500  # characters at the end in which notes and remains are looked for
 LEVELS = ("trigram", "pair", "stem", "place", "word", "behind", "rate")
 
@@ -51,10 +55,10 @@ LEVELS = ("trigram", "pair", "stem", "place", "word", "behind", "rate")
 def _clean(text: Column) -> Column:
     """Markup and quotes around the whole text removed, entities replaced."""
     t = F.when(text.rlike("[<&]"), F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"</?[A-Za-z][^<>]{0,200}>", " "), "&amp;", "&"), r"&#?\w{1,8};", " ")).otherwise(text)
-    return F.regexp_replace(t, r"^[\s\"“”«»​ ]+|[\s\"“”«»​ ]+$", "")
+    return F.btrim(t, F.lit(_AROUND))
 
 
-_BRACKETED, _WORD = r"[(\[][^()\[\]]{0,200}[)\]]", r"[\p{L}\p{M}0]+(?:[.,:/-]0[\p{L}0]*|-\p{L}+0[\p{L}0]*)*"
+_BRACKETED, _WORD = r"[(\[][^()\[\]]{0,200}[)\]]", r"[\p{L}\p{M}0-9]++(?:[.,:/-][0-9][\p{L}0-9]*+|-\p{L}++[0-9][\p{L}0-9]*+)*+"
 
 
 def _words(clean: Column) -> Column:
@@ -63,14 +67,14 @@ def _words(clean: Column) -> Column:
     The words of brackets come first, between ( and ), so that what is around a bracket is counted as if it were not there;
     a bracket left open stays where it is.
     """
-    t = F.translate(F.lower(clean), "123456789", "000000000")
-    pieces = F.regexp_extract_all(t, F.lit(rf"{_BRACKETED}|https?://\S+|{_WORD}|[.!?]+(?=\s|$)|[(\[]"), F.lit(0))
+    pieces = F.regexp_extract_all(F.lower(clean), F.lit(rf"https?://\S+|{_WORD}|{_BRACKETED}|[.!?]++(?=\s|$)|[(\[]"), F.lit(0))
     first = lambda x: F.left(x, F.lit(1))
     closed = lambda x: first(x).isin("(", "[") & (F.length(x) > 1)
-    kind = lambda x: F.when(closed(x) | x.contains("://"), "").when(first(x).isin(".", "!", "?"), "|").when(x.contains("0"), "#").when(x == "[", "(").otherwise(x)
+    kind = lambda x: F.when(closed(x), "").when(first(x).isin(".", "!", "?"), "|").when(x == "[", "(").when(x.contains("://"), "").otherwise("#")
     within = F.regexp_extract_all(F.array_join(F.filter(pieces, closed), " "), F.lit(rf"{_WORD}|[()\[\]]"), F.lit(0))
-    held = lambda x: F.when(x.contains("0"), "#").when(x == "[", "(").when(x == "]", ")").otherwise(x)
-    return F.concat(F.transform(within, held), F.array(F.lit("|")), F.array_remove(F.transform(pieces, kind), ""))
+    held = lambda x: F.when(x == "[", "(").when(x == "]", ")").when(x.rlike("[0-9]"), "#").otherwise(x)
+    plain = lambda x: F.when(x.rlike("[^\\p{L}\\p{M}]"), kind(x)).otherwise(x)
+    return F.concat(F.transform(within, held), F.array(F.lit("|")), F.array_remove(F.transform(pieces, plain), ""))
 
 
 def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words: int = 12, least_seen: int = 3, terminal_share: float = 0.05, word_share: float = 0.5, pile: int = 8, pile_factor: float = 4.0) -> DataFrame:
@@ -82,8 +86,12 @@ def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words
     """
     base = texts.select(F.col(record_id).alias("id"), F.col(source).alias("source"), F.length(text).alias("len"), _clean(F.col(text)).alias("c"), is_filler(F.col(text)).alias("filler"))
     base = base.filter(F.col("c").isNotNull() & ~F.col("filler")).withColumn("tail", F.right("c", F.lit(_TAIL)))
-    base = base.withColumn("remains", F.col("tail").rlike(_VISIBLE))
-    base = base.withColumn("end", F.regexp_replace(F.when(F.col("remains"), F.regexp_replace("tail", _STRIPPED, "")).otherwise(F.col("tail")), _NOTE, ""))
+    ended = F.right("tail", F.lit(4)).rlike(r"[^.…][.!?][\"'’”»)\]]*$")
+    base = base.withColumn("remains", ~ended & F.col("tail").rlike(_VISIBLE))
+    end = F.when(F.col("remains"), F.rtrim(F.regexp_replace("tail", _STRIPPED, ""))).otherwise(F.col("tail"))
+    low = F.lower("tail")
+    noted = reduce(Column.__or__, (low.contains(n) for n in _NOTES))
+    base = base.withColumn("end", F.when(noted, F.rtrim(F.regexp_replace(end, _NOTE, ""))).otherwise(end))
     stopped = ~F.col("remains") & ((F.length("end") < F.length("tail")) | F.right("tail", F.lit(20)).rlike(r"[.!?][\"'’”»)\]]*$"))
     complete = F.right("end", F.lit(20)).rlike(r"[.!?)\]][\"'’”»)\]]*$")
     head = base.select(
@@ -102,12 +110,13 @@ def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words
         F.when(following == "|", 1).otherwise(0).alias("ended"),
     )
     counts = at.groupBy("k").agg(F.sum("inside").alias("inside"), F.sum("ended").alias("ended"))
-    counts = counts.withColumn("total", F.col("inside") + F.col("ended")).withColumn("size", F.col("total"))
+    total = F.col("inside") + F.col("ended")
+    counts = materialise(counts.filter(total >= least_seen).select("k", "ended", total.alias("total"), total.alias("size")))  # the others say nothing
 
     opened = w.filter(~F.col("complete") & (F.element_at("w", -1) != "|")).select("id", "w")
     asked = opened.select("id", F.posexplode(_contexts(F.size("w"))).alias("level", "k"))
     share = F.when(F.col("level") < 3, terminal_share).otherwise(word_share)  # trigram, pair, place
-    told = F.when(F.col("total") >= least_seen, F.col("ended") < share * F.col("total"))
+    told = F.col("ended") < share * F.col("total")
     told = F.when(F.col("level") == 2, F.when(told, True)).otherwise(told)  # where sentences may end, a place says nothing
     levels = ("trigram", "pair", "place", "word", "behind", "rate")
     met = skew_safe_left_join(asked, counts, "k", F.xxhash64("id", "level"), "size").withColumn("told", told)
