@@ -142,6 +142,25 @@ def test_languages(spark, clash):
     assert languages.found(df.limit(0)).count() == 0 and languages.found(df.withColumn("lang", F.lit(None).cast("string"))).count() == 0
 
 
+PL = ("Szybki wzrost roślin został zmierzony we wszystkich próbach, a wyniki były całkiem wyraźne dla badaczy.", "Badania pokazują, że jakość wody w jeziorach zależy od pory roku oraz od głębokości zbiornika.", "Autorzy opisują nową metodę, która pozwala dokładniej przewidzieć zmiany temperatury gleby.")
+
+
+def test_rare_language_and_wrong_labels(spark):
+    rows = [(i, " ".join(random.Random(i).sample(t.split(), len(t.split()))), lang) for i in range(900) for lang, t in ((("en", EN), ("de", DE), ("fr", FR))[i % 3],)]
+    rows += [(1000 + i, t, "pl") for i, t in enumerate(PL)] + [(1100 + i, " ".join(random.Random(i).sample(EN.split(), 17)), "sv") for i in range(4)] + [(1200, "Wyniki badania pokazują, że próby zostały zmierzone dokładniej oraz jakość była wyraźna.", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang for r in languages.found(df).collect()}
+    assert got == {**{1100 + i: "en" for i in range(4)}, 1200: "pl"}
+
+
+def test_long_lines_are_scored_whole():
+    lines = [languages.prepared(t) for t in (EN, DE, FR) for _ in range(10)]
+    model = languages.fit(lines, ["en"] * 10 + ["de"] * 10 + ["fr"] * 10)
+    long = languages.prepared(" ".join([EN, FR, DE, FR] * 2000))
+    whole = languages._product([long], model.weights) + model.bias
+    assert len(long) > 5 * languages._PIECE and abs(model.scores([lines[0], long, lines[20]])[1] - whole[0]).max() < 1e-3
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
 def test_language_held_out_accuracy(spark):
     df = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").select("doc_id", "text", "lang")
