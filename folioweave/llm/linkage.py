@@ -4,12 +4,13 @@ Blocking (a pair is compared once, whichever pass brings it up):
   doi     equal bare DOIs;
   word    a rare title word in common; a word that only one catalogue knows counts as the
           words of the other that begin or end alike and lie within three edits;
-  name    a name, the year (plus or minus one) and nine tenths of the longer title words in
-          common, for records with no very rare word that both catalogues know; a word that
-          only its own catalogue knows is common if the other title has one within two
-          fifths of its letters, four at most.
+  name    a name, the year (plus or minus one, or missing on either side) and nine tenths of
+          the longer title words in common, however frequent they are; a word that only its
+          own catalogue knows is common if the other title has one within two fifths of its
+          letters, four at most;
+  title   a name and all letters and digits of the title in common, wherever words are divided.
 A word is rare if at most ``rare`` distinct titles hold it, so copies of one record do not
-make a word common; frequent words are not dropped but refined by name and year.
+make a word common.  As catalogues grow fewer words are rare; the other passes do not depend on it.
 
 Pairs whose titles carry different marks of a dependent work (a reply, an erratum, a part
 number) are different works by definition and never compared.
@@ -105,9 +106,8 @@ def rare_words(a: DataFrame, b: DataFrame, rare: int) -> tuple[DataFrame, DataFr
     return tuple(w.join(few, "word").select("word", "id", "mark", "titles") for w in (words_a, words_b))
 
 
-def candidates(a: DataFrame, b: DataFrame, rare_a: DataFrame, rare_b: DataFrame, very_rare: int) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, rare_a: DataFrame, rare_b: DataFrame) -> DataFrame:
     """(a, b): ids of pairs that at least one pass brings together and whose marks agree."""
-    very_rare_b = rare_b.filter((F.col("titles") <= very_rare) & (F.length("word") >= 6))
     rare_a, rare_b = rare_a.drop("titles"), rare_b.drop("titles")
     known_a, known_b = (d.select("word").filter(F.length("word") >= 6).distinct() for d in (rare_a, rare_b))
     only_b = known_b.join(known_a, "word", "left_anti")
@@ -117,27 +117,31 @@ def candidates(a: DataFrame, b: DataFrame, rare_a: DataFrame, rare_b: DataFrame,
     by_doi = a.filter("doi IS NOT NULL").select(F.col("id").alias("a"), "stem", "mark").join(b.filter("doi IS NOT NULL").select(F.col("id").alias("b"), "stem", "mark"), ["stem", "mark"]).select("a", "b")
 
     long = F.filter("words", lambda w: F.length(w) >= 5)
+    named = F.filter("names", lambda n: F.length(n) >= 5)
+    near = lambda y: F.array(*((y + d).cast("string") for d in (-1, 0, 1)))
+    # years as they are told: "?" stands for a missing one of the left side, "*" for a missing one of the right
+    years_a = F.array(F.coalesce(F.col("year").cast("string"), F.lit("?")), F.lit("*"))
+    years_b = F.when(F.col("year").isNull(), F.array(F.lit("*"))).otherwise(F.concat(near(F.col("year")), F.array(F.lit("?"))))
 
-    def named(d: DataFrame, name: str, words: Column, years: Column) -> DataFrame:
-        rows = d.filter("year IS NOT NULL").select(F.col("id").alias(name), "mark", words.alias("ws"), F.explode("names").alias("n"), years.alias("y"))
-        rows = rows.filter(F.length("n") >= 5).select(name, "mark", "n", "y", F.explode("ws").alias("w"))
-        return rows.select(name, F.xxhash64("n", "w", "y", "mark").alias("k"))
+    def keys(d: DataFrame, name: str, words: Column, years: Column) -> DataFrame:
+        rows = d.select(F.col("id").alias(name), "mark", words.alias("ws"), years.alias("ys"), F.explode(named).alias("n"))
+        return rows.select(name, "mark", "n", "ys", F.explode("ws").alias("w")).select(name, F.explode(F.transform("ys", lambda y: F.xxhash64("n", "w", y, "mark"))).alias("k"))
 
     used = a.select(F.explode(long).alias("word")).groupBy("word").agg(F.count("*").alias("used"))
-    lost = b.join(very_rare_b.join(known_a, "word", "left_semi").select("id").distinct(), "id", "left_anti").filter("year IS NOT NULL")
-    # a word that only the imports hold may be a slip: it is looked for among the words of the other title
-    told = lost.select("id", F.explode(long).alias("word")).join(used, "word", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("used", "word"))).alias("told"))  # no more words than the title has
+    # a word that only the right side holds may be a slip: it is looked for among the words of the other title
+    told = b.select("id", F.explode(long).alias("word")).join(used, "word", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("used", "word"))).alias("told"))  # no more words than the title has
     held = F.filter("told", lambda x: x["used"].isNotNull())
-    lost = materialise(lost.join(told, "id").select("id", "mark", "names", "year", held["word"].alias("held"), F.filter("told", lambda x: x["used"].isNull())["word"].alias("slips")))
+    asked = materialise(b.join(told, "id").select("id", "mark", "names", "year", held["word"].alias("held"), F.filter("told", lambda x: x["used"].isNull())["word"].alias("slips")))
     size = F.size("held") + F.size("slips")
     # a tenth of the words may be missing, so a pair shares one of the rarest words that are one more
     rarest = F.slice("held", 1, F.floor(size * 0.1).cast("int") + 1)
-    near_years = F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))
-    met = named(a, "a", long, F.col("year")).join(named(lost, "b", rarest, near_years), "k").select("a", "b").distinct()
-    met = met.join(lost.select(F.col("id").alias("b"), "held", "slips"), "b").join(a.select(F.col("id").alias("a"), long.alias("long")), "a")
+    met = keys(a, "a", long, years_a).join(keys(asked, "b", rarest, years_b), "k").select("a", "b").distinct()
+    met = met.join(asked.select(F.col("id").alias("b"), "held", "slips"), "b").join(a.select(F.col("id").alias("a"), long.alias("long")), "a")
     alike = F.filter("slips", lambda x: F.exists("long", lambda w: F.levenshtein(x, w, 4).between(0, F.floor(F.length(x) * 0.4))))  # -1 beyond the bound
     by_name = met.filter(F.size(F.array_intersect("held", "long")) + F.size(alike) >= 0.9 * size).select("a", "b")
-    return by_word.unionByName(by_doi).unionByName(by_name).distinct()
+    whole = lambda d, name: d.filter("key <> ''").select(F.col("id").alias(name), F.explode(named).alias("n"), "key", "mark").select(name, F.xxhash64("n", "key", "mark").alias("k"))
+    by_title = whole(a, "a").join(whole(b, "b"), "k").select("a", "b")
+    return by_word.unionByName(by_doi).unionByName(by_name).unionByName(by_title).distinct()
 
 
 def _levels(c: DataFrame) -> DataFrame:
@@ -204,7 +208,7 @@ def link(left: DataFrame, left_id: str, right: DataFrame, right_id: str, least:
     a, b = materialise(prepared(left, left_id)), materialise(prepared(right, right_id))
     rare_a, rare_b = rare_words(a, b, rare)
     rare_a, rare_b = materialise(rare_a), materialise(rare_b)
-    pairs = candidates(a, b, rare_a, rare_b, very_rare)
+    pairs = candidates(a, b, rare_a, rare_b)
     core = lambda d, w: d.join(w.filter((F.col("titles") <= very_rare) & (F.length("word") >= 6)).groupBy("id").agg(F.collect_set("word").alias("core")), "id", "left").withColumn("core", F.coalesce("core", F.array().cast("array<string>")))
     a, b = core(a, rare_a), core(b, rare_b)  # no more words than the title has
     fields = ("key", "words", "core", "names", "year", "stem")
