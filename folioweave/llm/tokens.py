@@ -2,8 +2,8 @@
 
 The tokenizer first splits a text into words by a pattern and encodes each word by itself, so
 a word's ids never depend on its neighbours.  Words are split in the JVM; each distinct word
-of the corpus is encoded once; the ids come back by position.  The most frequent words, a
-fixed number of bounded length, go to every worker; the rest, a small share of all
+of the corpus is encoded once; the ids come back by position.  The most frequent words of every
+length, of bounded number and size, go to every worker; the rest, a small share of all
 positions, are joined by a shuffle, so no frequent word makes a hot key.
 
 The JVM's and the tokenizer's character classes agree on every character the JVM knows.
@@ -25,7 +25,8 @@ from folioweave.session import materialise
 
 # Fixed value: how the byte-level tokenizers of this family split a text into words.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HOT_WORDS, HOT_LENGTH = 65_536, 32
+# Most frequent words that every worker holds, by their longest length: some 4 million characters of each kind at most.
+HOT_WORDS = {32: 65_536, 1_024: 4_096, 65_536: 64}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -81,7 +82,10 @@ def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
     unknown = F.col("text").rlike(r"\p{Cn}")
     plain, odd = docs.filter(~unknown), docs.filter(unknown)
     table = materialise(word_table(plain, "text", path))
-    hot = table.filter(F.length("word") <= HOT_LENGTH).orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word", "ids").collect()
+    hot, shorter = [], 0
+    for longest, most in HOT_WORDS.items():
+        hot += table.filter(F.length("word").between(shorter + 1, longest) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(most).select("word", "ids").collect()
+        shorter = longest
     known = spark.sparkContext.broadcast({r["word"]: r["ids"] for r in hot})  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
