@@ -1,34 +1,35 @@
 """Filling containers of fixed capacity: harmonic packing of lengths in classes of reciprocal capacity.
 
-An item of class j has a length in (capacity / (j + 1), capacity / j], so j items of the
-class always fit one container and j + 1 never do.  Each class fills its own containers with
-j items each, and each worker its own, so nothing but counts is exchanged.  Classes are taken
-in groups of falling length, 1, 2 to 3, 4 to 7 and so on.  The space that the containers so
-far have left is offered to a group before it opens its own: spaces and items are laid end to
-end along one line per worker, and an item that lies within one space goes there.  Items of
-the last class, of at most ``capacity / classes``, are laid end to end and cut where the next
-might not fit.  An item longer than the capacity fills whole containers; what is left of it is
-an item like any other.
-
-Cases: a NULL length counts as 0, and an item of length 0 gets a container, with other small
-items; negative lengths are an error; ties and repeated rows each get a place; an empty table
-gives an empty result; other columns are not read.
+An item of class j has a length in (capacity / (j + 1), capacity / j], so j items of the class always fit one container and
+j + 1 never do.  Each class fills its own containers with j items each; what the containers of larger classes have left is
+offered to a class first, the smallest space that holds an item.  Items of the last class, of at most ``capacity /
+classes``, are laid end to end in what is still left and in containers of their own.  An item longer than the capacity
+fills whole containers; what is left of it is an item like any other.
+
+Items are dealt evenly to workers of about ``share`` items, whatever their ids or lengths, and each worker packs its own in
+one pass over memory of bounded size; only the numbers of containers are exchanged.
+
+Cases: a NULL length counts as 0, and an item of length 0 gets a container, with other small items; negative lengths are an
+error; ties and repeated rows each get a place; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from bisect import bisect_left, insort
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folioweave.session import materialise
 
+_BLOCK = 1_000  # workers whose counts are summed in one task
+
 
-def pack(items: DataFrame, item_id: str, length: str, capacity: int = 2048, classes: int = 64, share: int = 200_000, turns: int = 4) -> DataFrame:
+def pack(items: DataFrame, item_id: str, length: str, capacity: int = 2048, classes: int = 64, share: int = 200_000) -> DataFrame:
     """(item, part, length, container): a container number for each item, or each part of one longer than ``capacity``.
 
-    ``share`` is about the number of items a worker fills containers with on its own, ``turns`` how
-    often a group is offered the space that is left.
+    ``share`` is about the number of items a worker fills containers with on its own.
     """
     if capacity < 1 or classes < 2:
         raise ValueError("capacity must be positive and classes at least 2")
@@ -41,56 +42,69 @@ def pack(items: DataFrame, item_id: str, length: str, capacity: int = 2048, clas
     checked = sized.filter(F.when(F.col("length") < 0, F.raise_error(F.lit("negative length"))).otherwise(True))
     parts = materialise(checked.select("item", F.inline(F.concat(whole, left))))
     workers = max(1, -(-parts.count() // share))
-    kind = F.when(F.col("length") * classes <= capacity, classes).otherwise(F.floor(capacity / F.greatest("length", F.lit(1)))).cast("int")
-    sorted_out = parts.select("item", "part", "length", kind.alias("kind"), F.pmod(F.xxhash64("item", "part"), F.lit(workers)).alias("worker"))
-
-    columns = ("item", "part", "length", "kind", "worker", "own")
-    placed, spaces = [], None  # what is done, and the space of each container
-    low = 1
-    while low <= classes:
-        group = sorted_out.filter(F.col("kind").between(low, min(2 * low, classes + 1) - 1)).select("worker", "item", "part", "length", "kind")
-        for turn in range(turns if spaces is not None else 0):
-            line = materialise(_offered(spaces, group, capacity, low, turn))
-            guests = line.filter("home IS NOT NULL").select("item", "part", "length", F.col("home.kind").alias("kind"), "worker", F.col("home.own").alias("own"))
-            taken = guests.groupBy("worker", "kind", "own").agg(F.sum("length").alias("taken"))
-            spaces = materialise(spaces.join(taken, ["worker", "kind", "own"], "left").select("worker", "kind", "own", (F.col("space") - F.coalesce("taken", F.lit(0))).alias("space")))
-            placed.append(guests.select(*columns))
-            group = line.filter("home IS NULL").drop("home")
-        own = materialise(_harmonic(group, capacity, classes).select(*columns))
-        placed.append(own)
-        fresh = own.groupBy("worker", "kind", "own").agg((capacity - F.sum("length")).alias("space"))
-        spaces = materialise(fresh if spaces is None else spaces.unionByName(fresh))
-        low *= 2
-    placed = reduce(DataFrame.unionByName, placed)
-    # containers are numbered through: a row for each class and worker is all that meets
-    counts = spaces.groupBy("kind", "worker").agg((F.max("own") + 1).alias("n"))
-    first = counts.select("kind", "worker", (F.sum("n").over(Window.orderBy("kind", "worker")) - F.col("n")).alias("first"))
-    return placed.join(F.broadcast(first), ["kind", "worker"]).select("item", "part", "length", (F.col("first") + F.col("own")).alias("container"))
-
-
-def _harmonic(d: DataFrame, capacity: int, classes: int) -> DataFrame:
-    """With ``own``, the number of the container within class and worker: a fixed count of items in each."""
-    order = Window.partitionBy("kind", "worker").orderBy("item", "part", "length")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    usable = max(1, capacity - capacity // classes)
-    own = F.when(F.col("kind") == classes, F.floor(before / usable)).otherwise(F.floor((F.row_number().over(order) - 1) / F.col("kind")))
-    return d.withColumn("own", own.cast("long"))
-
-
-def _offered(spaces: DataFrame, group: DataFrame, capacity: int, low: int, turn: int) -> DataFrame:
-    """Items of ``group`` with ``home``, the container of ``spaces`` whose space they lie in; NULL for none."""
-    spaces = spaces.filter(F.col("space") >= capacity // (2 * low))
-    before = lambda *o: Window.partitionBy("worker").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
-    at = lambda c, *o: F.coalesce(F.sum(c).over(before(*o)), F.lit(0)).alias("at")
-    mixed = F.xxhash64("kind", "own", F.lit(turn)), F.col("kind"), F.col("own")
-    empty = [F.lit(None).cast(group.schema[c].dataType).alias(c) for c in ("item", "part", "length", "kind")]
-    spaces = spaces.select("worker", at("space", *mixed), F.lit(0).alias("what"), F.struct("kind", "own", "space").alias("home")).select("*", *empty)
-    mixed = F.xxhash64("item", "part", F.lit(turn)), F.col("item"), F.col("part"), F.col("length")
-    line = group.select("worker", at("length", *mixed), F.lit(1).alias("what"), F.lit(None).cast(spaces.schema["home"].dataType).alias("home"), "item", "part", "length", "kind")
-    along = Window.partitionBy("worker").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = spaces.unionByName(line).withColumn("home", F.last("home", True).over(along)).withColumn("begin", F.max(F.when(F.col("what") == 0, F.col("at"))).over(along)).filter("what = 1")
-    fits = F.coalesce(F.col("at") + F.col("length") <= F.col("begin") + F.col("home.space"), F.lit(False))
-    return line.select("worker", "item", "part", "length", "kind", F.when(fits, F.col("home")).alias("home"))
+    # places in a written table do not change, so a lost task deals its rows as before
+    dealt = parts.withColumn("worker", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(workers)))
+
+    def fill(table: pa.Table) -> pa.Table:
+        own = harmonic(table.column("length").to_numpy(), capacity, classes)
+        return table.append_column("own", pa.array(own, pa.int64()))
+
+    kind = parts.schema["item"].dataType.simpleString()
+    placed = materialise(dealt.groupBy("worker").applyInArrow(fill, f"item {kind}, part int, length long, worker long, own long"))
+    counts = placed.groupBy("worker").agg((F.max("own") + 1).alias("n")).withColumn("block", F.floor(F.col("worker") / _BLOCK))
+    # containers are numbered through: sums of blocks of workers, then of workers in their block
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block")).alias("first"))
+    first = counts.withColumn("ahead", before(Window.partitionBy("block").orderBy("worker"))).join(blocks, "block").select("worker", (F.col("first") + F.col("ahead")).alias("first"))
+    return placed.join(first, "worker").select("item", "part", "length", (F.col("first") + F.col("own")).alias("container"))
+
+
+def harmonic(lengths: np.ndarray, capacity: int, classes: int) -> np.ndarray:
+    """The container of each item, numbered from 0."""
+    own = np.full(len(lengths), -1, np.int64)
+    kind = np.where(lengths * classes <= capacity, classes, capacity // np.maximum(lengths, 1))
+    order = np.argsort(-lengths, kind="stable")
+    starts = np.searchsorted(kind[order], np.arange(1, classes + 2))  # kinds rise as lengths fall
+    held: dict[int, list[int]] = {}  # containers by the space they have left
+    spaces: list[int] = []  # the keys of ``held``, sorted
+    opened = 0
+
+    def put(container: int, space: int) -> None:
+        if space:
+            if space not in held:
+                held[space] = []
+                insort(spaces, space)
+            held[space].append(container)
+
+    for j in range(1, classes + 1):
+        rest = []
+        for i in order[starts[j - 1] : starts[j]].tolist():
+            n = int(lengths[i])
+            at = bisect_left(spaces, max(n, 1))
+            if at == len(spaces):
+                rest.append(i)
+                continue
+            space = spaces[at]
+            container = held[space].pop()
+            if not held[space]:
+                del held[space], spaces[at]
+            own[i] = container
+            put(container, space - n)
+        if not rest:
+            continue
+        rest = np.array(rest)
+        if j < classes:
+            group = np.arange(len(rest)) // j
+        else:  # small items end to end, a container closed where the next might not fit
+            usable = max(1, capacity - capacity // classes)
+            group = (np.cumsum(lengths[rest]) - lengths[rest]) // usable
+            group = np.unique(group, return_inverse=True)[1]
+        own[rest] = opened + group
+        used = np.bincount(group, lengths[rest]).astype(np.int64)
+        for g, u in enumerate(used.tolist()):
+            put(opened + g, capacity - u)
+        opened += len(used)
+    return own
 
 
 def filling(packed: DataFrame, capacity: int = 2048) -> DataFrame:
