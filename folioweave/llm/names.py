@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioweave.operators.components import connected_components
+from folioweave.operators.joins import skew_safe_left_join
 from folioweave.operators.nested import PAPER_ORGANISATIONS, linked_rows
 from folioweave.session import materialise
 
@@ -197,13 +198,15 @@ def _word_kind(w: str) -> str | None:
 
 def parse_organisation(name: str) -> tuple[str, str] | None:
     """(kind, place) of an organisation; None for a name without a place."""
-    words = re.findall(r"[^\W\d_]+", fold(re.sub(r"['’]", "", name)))
+    bare = re.sub(r"['’]", "", repaired(name))
     kinds, places, short = set(), [], []
-    for w in words:
+    for token in re.findall(r"[^\W\d_]+", bare):
+        w = fold(token)
         k = _word_kind(w)
+        acronym = len(w) <= 2 or (token.isupper() and not bare.isupper())
         if k:
             kinds.add(k)
-        elif len(w) <= 3:
+        elif len(w) <= 3 and (acronym or w in _PLAIN or w in _LINKS):
             if w not in _PLAIN and w not in _LINKS:
                 short.append(w)
         elif w not in _PLAIN and not any(ratio(w, p) >= 0.86 for p in _PLAIN if len(p) >= 7):
@@ -370,13 +373,28 @@ def paper_people(papers: DataFrame, authors: DataFrame, people: DataFrame, orgs:
     return borne.filter("persons = 1").select("paper_id", "person").unionByName(chosen).distinct()
 
 
-def found(papers: DataFrame, authors: DataFrame, institutions: DataFrame) -> DataFrame:
-    """(kind, first_id, second_id) for organisations, persons and persons named in papers."""
+def entities(authors: DataFrame, institutions: DataFrame, papers: DataFrame) -> DataFrame:
+    """(kind, id, entity, members): each institution and author row with the smallest id of its entity and the entity's number of rows."""
+    orgs, people, _ = resolved(papers, authors, institutions)
+    rows = institutions.select("institution_id", "name").join(orgs, "name").select(F.lit("institution").alias("kind"), F.col("institution_id").alias("id"), F.col("org").alias("key"))
+    rows = materialise(rows.unionByName(people.select(F.lit("author").alias("kind"), F.col("author_id").alias("id"), F.col("person").cast("string").alias("key")).distinct()))
+    told = rows.groupBy("kind", "key").agg(F.min("id").alias("entity"), F.count("*").alias("members"))
+    joined = skew_safe_left_join(rows.withColumn("key", F.concat_ws("|", "kind", "key")), told.select(F.concat_ws("|", "kind", "key").alias("key"), "entity", "members", F.col("members").alias("size")), "key", F.xxhash64("kind", "id"), "size")
+    return joined.select("kind", "id", "entity", "members")
+
+
+def resolved(papers: DataFrame, authors: DataFrame, institutions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(orgs, people, said): the organisation of each name, the person of each author row, and the organisations that payloads name."""
     said = linked_rows(papers, "paper_id", "raw_data", PAPER_ORGANISATIONS)
     said = materialise(said.select(F.col("record_id").alias("paper_id"), F.col("outer_pos").alias("pos"), "name"))
     names = institutions.select("name").unionByName(authors.select(F.explode("affiliations").alias("name"))).unionByName(said.select("name"))
     orgs = materialise(resolve_organisations(names, institutions.select("name", F.col("url").alias("address"))))
-    people = materialise(persons(authors, orgs))
+    return orgs, materialise(persons(authors, orgs)), said
+
+
+def found(papers: DataFrame, authors: DataFrame, institutions: DataFrame) -> DataFrame:
+    """(kind, first_id, second_id) for organisations, persons and persons named in papers."""
+    orgs, people, said = resolved(papers, authors, institutions)
     labelled = lambda kind, d: d.select(F.lit(kind).alias("kind"), "first_id", "second_id")
     named = paper_people(papers, authors, people, orgs, said).select(F.col("paper_id").alias("first_id"), F.col("person").alias("second_id"))
     return labelled("institution", institution_pairs(institutions, orgs)).unionByName(labelled("author", author_pairs(people.select("author_id", "person")))).unionByName(labelled("paper_author", named))

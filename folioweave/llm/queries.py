@@ -57,6 +57,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.found(_table(spark, sf_dir, "papers"), _table(spark, sf_dir, "authors"), _table(spark, sf_dir, "institutions"))
 
 
+def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entities(_table(spark, sf_dir, "authors"), _table(spark, sf_dir, "institutions"), _table(spark, sf_dir, "papers"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(_table(spark, sf_dir, "documents"))
 
@@ -84,7 +88,7 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (p1_found, p1_rates, p2_found, p2_links, p4_found, p4_confidence, p5_found, p5_records, p6_found, p7_found, p8_ids, p8_roundtrip, p9_containers, p10_found, p10_languages)
+    fs = (p1_found, p1_rates, p2_found, p2_links, p4_found, p4_confidence, p5_found, p5_records, p6_found, p7_found, p7_entities, p8_ids, p8_roundtrip, p9_containers, p10_found, p10_languages)
     return {f.__name__: f for f in fs}
 
 

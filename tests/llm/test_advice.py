@@ -16,7 +16,7 @@ def test_slips_of_rare_words_reach_the_name_pass(spark):
     right = [(i, t, ["Kogotreb, W."], 2019, None) for i, (_, t) in enumerate(titles)] + [(10, "Linear grid cells and the Mikukroshol problem", ["Kogotreb, W."], 2018, None)]
     a = linkage.prepared(spark.createDataFrame(left + filler, ddl.format("paper_id")), "paper_id")
     b = linkage.prepared(spark.createDataFrame(right, ddl.format("import_id")), "import_id")
-    got = {tuple(r) for r in linkage.candidates(a, b, *linkage.rare_words(a, b, 60), 15).filter(F.col("a") < 100).collect()}
+    got = {tuple(r) for r in linkage.candidates(a, b, *linkage.rare_words(a, b, 60)).filter(F.col("a") < 100).collect()}
     assert got == {(0, 0), (1, 1), (2, 2)}
 
 
@@ -65,3 +65,9 @@ def test_short_texts_are_judged_by_visible_cuts(spark):
     got = {r.id: r.reason for r in truncation.judged(df, "abstract", "paper_id", "source").collect()}
     assert got == {1: "ellipsis", 2: "remark", 3: None, 4: None}
     assert [tuple(r) for r in truncation.rates(truncation.judged(df, "abstract", "paper_id", "source")).collect()] == [("a", 4, 2, 0.5)]
+
+
+def test_names_of_towns_keep_their_short_words():
+    place = lambda n: names.parse_organisation(n)[1]
+    assert place("New York University") == place("NEW YORK UNIV") == "newyork" and place("York University") == place("University of York") == "york"
+    assert names.ratio("newyork", "york") < 0.85 and place("MIT") == "mit" and place("ETH Zurich") == "zurich"
