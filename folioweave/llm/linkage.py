@@ -118,14 +118,10 @@ def candidates(a: DataFrame, b: DataFrame, rare_a: DataFrame, rare_b: DataFrame)
 
     long = F.filter("words", lambda w: F.length(w) >= 5)
     named = F.filter("names", lambda n: F.length(n) >= 5)
-    near = lambda y: F.array(*((y + d).cast("string") for d in (-1, 0, 1)))
-    # years as they are told: "?" stands for a missing one of the left side, "*" for a missing one of the right
-    years_a = F.array(F.coalesce(F.col("year").cast("string"), F.lit("?")), F.lit("*"))
-    years_b = F.when(F.col("year").isNull(), F.array(F.lit("*"))).otherwise(F.concat(near(F.col("year")), F.array(F.lit("?"))))
 
-    def keys(d: DataFrame, name: str, words: Column, years: Column) -> DataFrame:
-        rows = d.select(F.col("id").alias(name), "mark", words.alias("ws"), years.alias("ys"), F.explode(named).alias("n"))
-        return rows.select(name, "mark", "n", "ys", F.explode("ws").alias("w")).select(name, F.explode(F.transform("ys", lambda y: F.xxhash64("n", "w", y, "mark"))).alias("k"))
+    def keys(d: DataFrame, s: str, words: Column) -> DataFrame:
+        rows = d.select(F.col("id").alias(s), "mark", words.alias("ws"), F.col("year").alias(f"year_{s}"), F.explode(named).alias("n"))
+        return rows.select(s, f"year_{s}", "mark", "n", F.explode("ws").alias("w")).select(s, f"year_{s}", F.xxhash64("n", "w", "mark").alias("k"))
 
     used = a.select(F.explode(long).alias("word")).groupBy("word").agg(F.count("*").alias("used"))
     # a word that only the right side holds may be a slip: it is looked for among the words of the other title
@@ -135,7 +131,8 @@ def candidates(a: DataFrame, b: DataFrame, rare_a: DataFrame, rare_b: DataFrame)
     size = F.size("held") + F.size("slips")
     # a tenth of the words may be missing, so a pair shares one of the rarest words that are one more
     rarest = F.slice("held", 1, F.floor(size * 0.1).cast("int") + 1)
-    met = keys(a, "a", long, years_a).join(keys(asked, "b", rarest, years_b), "k").select("a", "b").distinct()
+    same_time = F.coalesce(F.abs(F.col("year_a") - F.col("year_b")) <= 1, F.lit(True))
+    met = keys(a, "a", long).join(keys(asked, "b", rarest).hint("merge"), "k").filter(same_time).select("a", "b").distinct()  # merged at every size: both sides grow
     met = met.join(asked.select(F.col("id").alias("b"), "held", "slips"), "b").join(a.select(F.col("id").alias("a"), long.alias("long")), "a")
     alike = F.filter("slips", lambda x: F.exists("long", lambda w: F.levenshtein(x, w, 4).between(0, F.floor(F.length(x) * 0.4))))  # -1 beyond the bound
     by_name = met.filter(F.size(F.array_intersect("held", "long")) + F.size(alike) >= 0.9 * size).select("a", "b")
