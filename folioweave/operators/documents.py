@@ -24,6 +24,24 @@ def parse_blocks(documents: DataFrame, doc_id: str, content: str) -> DataFrame:
     return out.filter((F.col("content") != "") | F.col("type").isin("image", "table"))
 
 
+def parse_layout(documents: DataFrame, doc_id: str, content: str) -> DataFrame:
+    """(doc_id, ord, type, content, level, page) from nested layouts: pages of paragraphs of lines of spans.
+
+    The text spans of a paragraph are joined by blanks; a paragraph without lines has a text of its own.  Paragraphs of type
+    text without text are dropped, those with a level are titles; ``ord`` counts over the pages.
+    """
+    para = "type: STRING, text_level: INT, text: STRING, lines: ARRAY<STRUCT<spans: ARRAY<STRUCT<type: STRING, content: STRING>>>>"
+    pages = F.from_json(F.col(content), f"STRUCT<pdf_info: ARRAY<STRUCT<page_idx: INT, para_blocks: ARRAY<STRUCT<{para}>>>>>")["pdf_info"]
+    placed = F.flatten(F.transform(pages, lambda p, i: F.transform(p["para_blocks"], lambda b: F.struct(F.coalesce(p["page_idx"], i).alias("page"), b.alias("b")))))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.posexplode(placed).alias("ord", "x")).select("doc_id", "ord", "x.page", "x.b")
+    spans = F.flatten(F.transform("b.lines", lambda line: F.coalesce(line["spans"], F.array().cast("array<struct<type:string,content:string>>"))))
+    said = F.array_join(F.transform(F.filter(spans, lambda s: s["type"] == "text"), lambda s: F.coalesce(s["content"], F.lit(""))), " ")
+    text = strip(F.coalesce(F.when(F.col("b.lines").isNotNull(), said).otherwise(F.col("b.text")), F.lit("")))
+    level, kind = F.coalesce("b.text_level", F.lit(0)), F.coalesce("b.type", F.lit("text"))
+    out = rows.select("doc_id", "ord", F.when((kind == "text") & (level > 0), "title").otherwise(kind).alias("type"), text.alias("content"), level.alias("level"), "page", kind.alias("was"))
+    return out.filter((F.col("content") != "") | (F.col("was") != "text")).drop("was")
+
+
 def markdown_blocks(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ord, type, content, level, page) from plain or marked-up text: lines that start with # are titles of that level."""
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("ord", "line")).withColumn("line", strip(F.col("line"))).filter("line <> ''")
@@ -50,12 +68,41 @@ def sections(blocks: DataFrame) -> DataFrame:
     return g.select("doc_id", F.col("section").cast("long").alias("section"), F.col("h.content").alias("title"), F.coalesce("h.level", F.lit(0)).alias("level"), F.array_join(F.col("t.content"), "\n\n").alias("text"))
 
 
-def chapters(blocks: DataFrame, deepest: int = 6) -> DataFrame:
+def chapters(blocks: DataFrame) -> DataFrame:
     """(doc_id, ord, title, level, parent): each title with the nearest earlier title of a smaller level; NULL at the top."""
     titles = blocks.filter((F.col("type") == "title") & (F.col("level") > 0))
     before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("ord")), True).over(before)) for k in range(1, deepest)]
-    return titles.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("content").alias("title"), "level", F.greatest(*last).cast("long").alias("parent"))
+    levels = sorted(r["level"] for r in titles.select("level").distinct().collect())[:-1]  # a row per level of headings
+    last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("ord")), True).over(before)) for k in levels]
+    parent = F.greatest(*last) if len(last) > 1 else last[0] if last else F.lit(None)
+    return titles.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("content").alias("title"), "level", parent.cast("long").alias("parent"))
+
+
+def full_sections(blocks: DataFrame) -> DataFrame:
+    """(doc_id, section, title, level, text): each titled section with the text of all sections below it, in order; empty parts leave no gap.
+
+    A section ends before the next title of its level or a smaller one; windows and joins run within a document.
+    """
+    own = sections(blocks).filter("section > 0")
+    after = Window.partitionBy("doc_id").orderBy("section").rowsBetween(1, Window.unboundedFollowing)
+    levels = sorted(r["level"] for r in own.select("level").distinct().collect())  # a row per level of headings
+    ends = [F.when(F.col("level") >= k, F.first(F.when(F.col("level") == k, F.col("section")), True).over(after)) for k in levels]
+    end = F.least(*ends) if len(ends) > 1 else ends[0] if ends else F.lit(None)
+    spans = own.select("doc_id", "section", "title", "level", F.coalesce(end, F.lit(1 << 62)).alias("end"))
+    parts = own.filter("text <> ''").select(F.col("doc_id").alias("of"), F.col("section").alias("part"), "text")
+    inside = (F.col("of") == F.col("doc_id")) & (F.col("part") >= F.col("section")) & (F.col("part") < F.col("end"))
+    listed = spans.join(parts, inside, "left").groupBy("doc_id", "section", "title", "level").agg(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("part", "text")))).alias("t"))
+    return listed.select("doc_id", "section", "title", "level", F.array_join(F.col("t.text"), "\n\n").alias("text"))
+
+
+def find_section(sections: DataFrame, query: str, top_only: bool = True) -> DataFrame:
+    """The first section of each document whose title holds ``query``, whatever the case: of the top level only, or of any level in order."""
+    rows = sections.filter(F.lower("title").contains(query.lower()))
+    if top_only:
+        top = sections.filter("title IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.min("level").alias("top"))
+        rows = rows.join(top, (F.col("of") == F.col("doc_id")) & (F.col("level") == F.col("top"))).drop("of", "top")
+    first = F.min_by(F.struct(*(c for c in rows.columns if c != "doc_id")), "section").alias("s")
+    return rows.groupBy("doc_id").agg(first).select("doc_id", "s.*")
 
 
 def standard_sections(blocks: DataFrame) -> DataFrame:
@@ -206,20 +253,26 @@ def _outer(node: _Node) -> str:
     return f"<{node.tag}{attrs}>" + "".join(c if isinstance(c, str) else _outer(c) for c in node.children) + ("" if node.tag in _VOID else f"</{node.tag}>")
 
 
-def read_page(page: str) -> dict:
-    """Title, authors, keywords, DOI, description, content as markdown, image addresses and tables of a web page."""
+def page_tree(page: str) -> _Node:
+    """The root of a page's elements."""
     tree = _Tree()
     tree.feed(page)
     tree.close()
-    every = list(tree.root.nodes())
+    return tree.root
+
+
+def read_page(page: str) -> dict:
+    """Title, authors, keywords, DOI, description, content as markdown, image addresses and tables of a web page."""
+    root = page_tree(page)
+    every = list(root.nodes())
     metas = [(n.attrs.get("name") or n.attrs.get("property") or "", n.attrs.get("content", "")) for n in every if n.tag == "meta"]
     title = next((re.sub(r"\s+", " ", n.text()).strip() for n in every if n.tag == "title"), None)
     named = lambda *names: [v for k, v in metas if k.lower() in names and v]
     title = next(iter(named("citation_title")), title)
     keywords = [w.strip() for v in named("keywords", "citation_keywords") for w in re.split("[,;]", v) if w.strip()]
-    _prune(tree.root)
-    every = list(tree.root.nodes())
-    content = next((n for rule in CONTENT for n in every if _is(n, rule)), tree.root)
+    _prune(root)
+    every = list(root.nodes())
+    content = next((n for rule in CONTENT for n in every if _is(n, rule)), root)
     inside = list(content.nodes())
     figures = [a for n in inside if n.tag == "img" and (a := n.attrs.get("src") or n.attrs.get("data-src"))]
     return {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioweave.functions.score import citation_burst
 from folioweave.operators.ranking import row_numbers
@@ -18,6 +18,18 @@ def edge_set(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return e.select("citing_id", "cited_id")
 
 
+def node_id(doi: Column, title: Column) -> Column:
+    """The name of a record in a graph: its DOI as written, else a hash of its title without regard to case."""
+    return F.coalesce(F.nullif(doi, F.lit("")), F.concat(F.lit("title:"), F.sha2(F.lower(title), 256)))
+
+
+def node_set(records: DataFrame, ord: str = "ord") -> DataFrame:
+    """(node_id, ord, title, year, citations_count, source): each node once, as its first record tells it."""
+    named = records.select(node_id(F.col("doi"), F.col("title")).alias("node_id"), ord).filter("node_id IS NOT NULL")
+    first = named.groupBy("node_id").agg(F.min(ord).alias(ord))
+    return first.join(records.select(ord, "title", "year", "citations_count", "source"), ord).select("node_id", ord, "title", "year", "citations_count", "source")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(paper_id, in_degree, out_degree) of every node; ``edges`` is an edge set."""
     into = edges.groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("in_degree"))

@@ -10,11 +10,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioweave.operators.ranking import row_numbers
 
 
+# Where payloads of the sources hold what a filter asks for, and whether a part of a value is enough.
+PAYLOAD_FIELDS: dict[str, tuple[tuple[str, ...], bool]] = {
+    "work_type": (("type", "info.type", "subtypeDescription"), False), "concept": (("concepts[*].display_name",), False), "category": (("category", "categories"), True), "mesh": (("MedlineCitation.MeshHeadingList[*].DescriptorName",), False),
+    "field_of_study": (("fieldsOfStudy",), False), "language": (("language", "bibjson.journal.language"), False), "issn": (("ISSN", "bibjson.journal.issns"), False),
+    "institution": (("authorships[*].institutions[*].display_name", "author[*].affiliation[*].name", "bibjson.author[*].affiliation", "MedlineCitation.Article.AuthorList[*].AffiliationInfo[*].Affiliation"), True),
+}
+
+
+def payload_holds(paths: Sequence[str], value: str, part: bool = False, payload: str = "raw_data") -> Column:
+    """Whether one of the values at ``paths`` of a JSON payload is ``value``, or holds it, whatever the case; a broken payload holds nothing."""
+    whole = F.try_parse_json(payload)
+    plain = F.when(F.ltrim(payload).startswith('"'), F.try_variant_get(whole, "$", "string")).otherwise(F.col(payload))  # wrapped twice
+    wanted = value.lower()
+    out = F.lit(False)
+    for path in paths:
+        raw = F.get_json_object(plain, "$." + path)
+        quoted = F.transform(F.regexp_extract_all(raw, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda v: F.replace(F.replace(v, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")))
+        values = F.when(raw.startswith("[") | raw.startswith('"'), quoted).otherwise(F.array(raw))  # lists within lists are read as one
+        meets = lambda v: F.coalesce(F.lower(v).contains(wanted) if part else F.lower(v) == wanted, F.lit(False))
+        out = out | F.coalesce(F.exists(values, meets), F.lit(False))
+    return F.when(whole.isNotNull(), out).otherwise(False)
+
+
 @dataclass(frozen=True)
 class Filter:
     """A conjunction of conditions on records; a field left at None sets none.
 
-    ``year`` is a year or an inclusive (first, last); ``cited_more_than`` is strict.
+    ``year`` is a year or an inclusive (first, last); ``cited_more_than`` is strict; ``venue`` is a
+    whole journal title.  Conditions from ``work_type`` on are read from the payload in ``raw_data``.
     """
 
     text: str | None = None
@@ -28,6 +52,16 @@ class Filter:
     has_abstract: bool | None = None
     has_references: bool | None = None
     has_doi: bool | None = None
+    has_pdf: bool | None = None
+    venue: str | None = None
+    work_type: str | None = None
+    concept: str | None = None
+    category: str | None = None
+    mesh: str | None = None
+    field_of_study: str | None = None
+    language: str | None = None
+    institution: str | None = None
+    issn: str | None = None
 
     def condition(self) -> Column:
         out = F.lit(True)
@@ -50,7 +84,12 @@ class Filter:
             out = out & (F.col("open_access") == self.open_access)
         if self.cited_more_than is not None:
             out = out & (F.col("citations_count") > self.cited_more_than)
-        for wanted, c in ((self.has_abstract, F.length("abstract") > 0), (self.has_references, F.col("references_count") > 0), (self.has_doi, F.length("doi") > 0)):
+        if self.venue:
+            out = out & (F.lower("journal") == self.venue.lower())
+        for name, (paths, part) in PAYLOAD_FIELDS.items():
+            if getattr(self, name):
+                out = out & payload_holds(paths, getattr(self, name), part)
+        for wanted, c in ((self.has_pdf, F.length("pdf_url") > 0), (self.has_abstract, F.length("abstract") > 0), (self.has_references, F.col("references_count") > 0), (self.has_doi, F.length("doi") > 0)):
             if wanted is not None:
                 out = out & (F.coalesce(c, F.lit(False)) == wanted)
         return out
@@ -73,6 +112,11 @@ def sort_order(by: str, ord: str = "ord") -> list[Column]:
     return {"citations": [count.desc()], "date": [year.desc()], "date_asc": [year.asc()]}.get(by, []) + [F.col(ord).asc()]
 
 
+def arxiv_sort(by: str | None) -> tuple[str, str]:
+    """Field and direction the preprint server is asked to sort by; what it cannot sort by comes by relevance and is sorted afterwards."""
+    return {"date": ("submittedDate", "descending"), "date_asc": ("submittedDate", "ascending")}.get(by or "relevance", ("relevance", "descending"))
+
+
 def ranked(records: DataFrame, by: str, ord: str = "ord", name: str = "rank") -> DataFrame:
     """``records`` with their place under a sort keyword."""
     return row_numbers(records, sort_order(by, ord), name)

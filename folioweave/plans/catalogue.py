@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioweave.functions import cite, score, text, urls
-from folioweave.operators import documents as docs, graph, nested, resolve, search
+from folioweave.operators import directory, documents as docs, graph, nested, resolve, search
 from folioweave.operators.ranking import row_numbers
 from folioweave.plans import oracle
-from folioweave.sources import people, records
+from folioweave.sources import files, people, records
 from folioweave.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,13 +190,51 @@ def author_papers(spark, sf_dir):
 
 @_query
 def author_search(spark, sf_dir):
-    a = _table(spark, sf_dir, "authors")
-    return a.filter(F.lower("name").contains("wanda") & (F.length("orcid") > 0)).select("author_id", "name")
+    return directory.find_authors(_table(spark, sf_dir, "authors"), "wanda", has_orcid=True).select("author_id", "name")
+
+
+@_query
+def author_institution_search(spark, sf_dir):
+    return directory.find_authors(_table(spark, sf_dir, "authors"), "albert", institution="hospital").select("author_id", "name")
 
 
 @_query
 def institution_search(spark, sf_dir):
-    return _table(spark, sf_dir, "institutions").filter((F.col("country") == "MX") & (F.col("type") == "healthcare")).select("institution_id", "name")
+    return directory.find_institutions(_table(spark, sf_dir, "institutions"), country="MX", kind="healthcare").select("institution_id", "name")
+
+
+@_query
+def journal_search(spark, sf_dir):
+    return directory.find_journals(_table(spark, sf_dir, "journals"), "letters", open_access=True).select("journal_id", "title", "issn")
+
+
+@_query
+def journal_articles(spark, sf_dir):
+    chosen = directory.find_journals(_table(spark, sf_dir, "journals"), open_access=True)
+    return directory.works_in(_papers(spark, sf_dir), chosen, "gels").select("paper_id", "journal")
+
+
+@_query
+def concept_works(spark, sf_dir):
+    p = _papers(spark, sf_dir)
+    return directory.works_about(p, records.concepts(p), "medicine").select("paper_id", "title")
+
+
+@_query
+def related_works(spark, sf_dir):
+    links = _table(spark, sf_dir, "citation_edges").groupBy(F.col("citing_id").alias("paper_id")).agg(F.array_sort(F.collect_set("cited_id")).alias("related_ids"))
+    return directory.related(_papers(spark, sf_dir), links, 3).select("paper_id", F.col("nth").cast("long").alias("nth"), "other_id")
+
+
+@_query
+def payload_filter(spark, sf_dir):
+    wanted = search.Filter(concept="medicine", institution="Hospital")
+    return _papers(spark, sf_dir).filter(wanted.condition()).select("paper_id", "source")
+
+
+@_query
+def page_number(spark, sf_dir):
+    return files.numbered_page(_papers(spark, sf_dir), 125, 50).select("paper_id", "title")
 
 
 @_query
@@ -220,6 +258,17 @@ def dedup_keep_first(spark, sf_dir):
     return resolve.keep_first(_papers(spark, sf_dir), resolvers=RESOLVERS)
 
 
+@_query
+def dedup_first_records(spark, sf_dir):
+    return resolve.first_records(_papers(spark, sf_dir), resolvers=RESOLVERS).select("paper_id", "title", "source", "year")
+
+
+@_query
+def lookup_merge_all(spark, sf_dir):
+    fused = resolve.fuse(_papers(spark, sf_dir), resolvers=RESOLVERS)
+    return fused.filter("key_kind = 'doi' AND n > 1").select("key", "n", "title", "year", "journal", "citations_count", "source")
+
+
 @_query
 def dedup_merge(spark, sf_dir):
     fused = resolve.fuse(_papers(spark, sf_dir), resolvers=RESOLVERS)
@@ -291,7 +340,7 @@ def pagerank_dangling_10(spark, sf_dir):
 
 @_query
 def pagerank_converged(spark, sf_dir):
-    return _rounded(graph.pagerank(*_graph(spark, sf_dir)), digits=6)
+    return _logged(graph.pagerank(*_graph(spark, sf_dir)))
 
 
 @_query
@@ -323,6 +372,11 @@ def bfs_depth2(spark, sf_dir):
     return graph.expand(edges, most, 2, 10)[0]
 
 
+@_query
+def graph_nodes(spark, sf_dir):
+    return graph.node_set(_papers(spark, sf_dir)).select("node_id", F.col("ord").alias("first_ord"), "title", "year")
+
+
 @_query
 def graph_json(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
@@ -338,6 +392,18 @@ def section_text(spark, sf_dir):
     return out.select("doc_id", "section", "title", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@_query
+def section_full_text(spark, sf_dir):
+    out = docs.full_sections(_blocks(spark, sf_dir))
+    return out.select("doc_id", "section", "title", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@_query
+def section_lookup(spark, sf_dir):
+    out = docs.find_section(docs.sections(_blocks(spark, sf_dir)), "method", top_only=False)
+    return out.select("doc_id", "section", "title", F.md5("text").alias("text_md5"))
+
+
 @_query
 def standard_sections(spark, sf_dir):
     return docs.standard_sections(_blocks(spark, sf_dir)).select("doc_id", "kind", F.md5("text").alias("text_md5"))
@@ -384,6 +450,13 @@ def parse_authors(spark, sf_dir):
     return people.parse_authors(_table(spark, sf_dir, "authors")).withColumn("affiliations", F.array_join("affiliations", "|"))
 
 
+@_query
+def inverted_index_text(spark, sf_dir):
+    index = F.from_json(F.get_json_object("p", "$.abstract_inverted_index"), "MAP<STRING, ARRAY<INT>>")
+    rows = records.readable(_papers(spark, sf_dir), "paper_id", "raw_data").select("paper_id", docs.inverted_text(index).alias("text")).filter("text IS NOT NULL")
+    return rows.select("paper_id", F.md5("text").alias("text_md5"))
+
+
 @_query
 def concept_scores(spark, sf_dir):
     return records.concepts(_table(spark, sf_dir, "papers"))

@@ -130,12 +130,68 @@ def _paper_authors() -> str:
     return f"WITH {_PAYLOADS} " + " UNION ALL ".join(parts)
 
 
+def _converged(rounds: int = 40, tolerance: float = 1e-6) -> str:
+    """The scores of the first round that moves them by less than the tolerance."""
+    ctes = [_EDGES, _DEGREES, "n AS (SELECT count(*)::DOUBLE AS n FROM papers)", "r0 AS (SELECT paper_id, 1.0 / (SELECT n FROM n) AS score FROM papers)"]
+    for i in range(1, rounds + 1):
+        ctes.append(f"g{i} AS (SELECT cited_id AS paper_id, sum(score / out_degree) AS got FROM e JOIN r{i - 1} r ON r.paper_id = e.citing_id JOIN d ON d.paper_id = e.citing_id GROUP BY 1)")
+        ctes.append(f"r{i} AS MATERIALIZED (SELECT paper_id, 0.15 / (SELECT n FROM n) + 0.85 * coalesce(got, 0) AS score FROM papers LEFT JOIN g{i} USING (paper_id))")
+    moved = " UNION ALL ".join(f"SELECT {i} AS k, sum(abs(x.score - y.score)) AS d FROM r{i} x JOIN r{i - 1} y USING (paper_id)" for i in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS k, paper_id, score FROM r{i}" for i in range(1, rounds + 1))
+    return "WITH " + ", ".join(ctes) + f", moved AS ({moved}) SELECT paper_id, round(ln(score), 9) AS log_score FROM ({every}) WHERE k = (SELECT min(k) FROM moved WHERE d < {tolerance})"
+
+
+def _expanded(depth: int = 2, cap: int = 10) -> str:
+    """Papers met from the most cited one: per paper of the front so many on either side, then the first of all as the next front."""
+    ctes = ["s AS (SELECT DISTINCT citing_id, cited_id FROM citation_edges)", "f0 AS (SELECT 1 AS o, cited_id AS paper_id FROM (SELECT DISTINCT citing_id, cited_id, source, seen_at FROM citation_edges) GROUP BY 2 ORDER BY count(*) DESC, 2 LIMIT 1)"]
+    for d in range(1, depth + 1):
+        sides = f"SELECT o, 0 AS side, citing_id AS other FROM s JOIN f{d - 1} f ON f.paper_id = s.cited_id UNION ALL SELECT o, 1, cited_id FROM s JOIN f{d - 1} f ON f.paper_id = s.citing_id"
+        ctes.append(f"a{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o, side ORDER BY other) AS nth FROM ({sides})) WHERE nth <= {cap})")
+        ctes.append(f"f{d} AS (SELECT row_number() OVER (ORDER BY o, side, nth) AS o, other AS paper_id FROM (SELECT * FROM a{d} ORDER BY o, side, nth LIMIT {2 * cap}))")
+    met = " UNION ALL ".join(["SELECT paper_id, 0 AS depth FROM f0", *(f"SELECT other, {d} FROM a{d}" for d in range(1, depth + 1))])
+    return "WITH " + ", ".join(ctes) + f" SELECT paper_id, min(depth)::INTEGER AS depth FROM ({met}) GROUP BY 1"
+
+
+_INVERTED = (
+    "i AS (SELECT id, CAST(json_extract(p, '$.abstract_inverted_index') AS MAP(VARCHAR, INTEGER[])) AS m FROM v WHERE owner = 'paper' AND json_type(p, '$.abstract_inverted_index') = 'OBJECT')"
+    ", ws AS (SELECT id, e.key AS w, unnest(e.value) AS pos FROM (SELECT id, unnest(map_entries(m)) AS e FROM i))"
+    ", places AS (SELECT id, unnest(range(0, mx + 1)) AS pos FROM (SELECT id, max(pos) AS mx FROM ws GROUP BY 1))"
+    ", inverted AS (SELECT id, string_agg(coalesce(w, ''), ' ' ORDER BY pos) AS text FROM places LEFT JOIN ws USING (id, pos) GROUP BY 1)"
+)
+_FULL = (
+    ", own AS (SELECT doc_id, section, max(title) AS title, max(level) AS level, max(text) AS text FROM (SELECT t.*, s.level FROM t JOIN s USING (doc_id, section) WHERE s.type = 'title') WHERE section > 0 GROUP BY 1, 2)"
+    ", ends AS (SELECT *, coalesce((SELECT min(q.section) FROM own q WHERE q.doc_id = o.doc_id AND q.section > o.section AND q.level <= o.level), 1152921504606846976) AS stop FROM own o)"
+    ", full_text AS (SELECT e.doc_id, e.section, any_value(e.title) AS title, coalesce(string_agg(p.text, chr(10) || chr(10) ORDER BY p.section) FILTER (WHERE p.text <> ''), '') AS text FROM ends e JOIN own p ON p.doc_id = e.doc_id AND p.section >= e.section AND p.section < e.stop GROUP BY 1, 2)"
+)
+
+
+def _payload_holds(paths: tuple[str, ...], test: str) -> str:
+    """Whether one of the values at the paths, lists flattened, passes ``test`` of x."""
+    values = lambda path: f"list_filter(json_extract_string(p, '$.{path}'), lambda x: {test})"
+    return "(" + " OR ".join(f"coalesce(len({values(path)}), 0) > 0" for path in paths) + ")"
+
+
 def statements() -> dict[str, str]:
     sources = ("openalex", "crossref", "semantic_scholar", "pubmed", "core", "arxiv", "dblp", "doaj", "elsevier", "google_scholar", "wos", "biorxiv", "medrxiv")
     ext = "CASE WHEN contains(split_part(lower(u), '?', 1), '.') THEN split_part(split_part(lower(u), '?', 1), '.', -1) ELSE '' END"
     pdf = f"({ext} = 'pdf' OR contains(lower(u), '/pdf/'))"
     page = f"({ext} IN ('html', 'htm') OR (regexp_matches(lower(u), '^https?://') AND {ext} NOT IN ('pdf', 'doc', 'docx', 'ppt', 'pptx', 'xls', 'xlsx')))"
     order = {"sort_citations": "coalesce(citations_count, 0) DESC, paper_id", "sort_date": "coalesce(year, 0) DESC, paper_id", "sort_date_asc": "coalesce(year, 0), paper_id"}
+    fused = (
+        f"WITH {_KEYED}, {_KEYWORDS}, m AS (SELECT key_kind, key, min(ord) AS first_ord, count(*) AS n, coalesce(first(title ORDER BY ord) FILTER (WHERE title <> ''), first(title ORDER BY ord)) AS title, "
+        + ", ".join((
+            _best("doi", ("crossref", "openalex", "semantic_scholar", "pubmed", "wos")), _best("abstract", ("semantic_scholar", "openalex", "pubmed", "crossref", "core")),
+            _best("journal", ("crossref", "openalex", "pubmed", "semantic_scholar")), _best("year", ("crossref", "openalex", "pubmed", "semantic_scholar"), "int"),
+            _best("pdf_url", ("core", "openalex", "semantic_scholar", "doaj", "arxiv", "biorxiv")), _best("url", ()), _authors(),
+        ))
+        + ", max(citations_count) AS citations_count, max(references_count) AS references_count, coalesce(bool_or(open_access), false) AS open_access, array_to_string(list_sort(list(DISTINCT source)), ',') AS source"
+        " FROM (SELECT *, list_transform(string_split(source, ','), lambda s: trim(s)) AS ss FROM keyed) GROUP BY 1, 2)"
+        f", fused AS (SELECT key_kind, key, first_ord, n, title, doi, abstract, journal, year, pdf_url, url, array_to_string({_PICK}, '|') AS authors, citations_count, references_count, open_access, source, coalesce(keywords, '') AS keywords FROM m LEFT JOIN k3 USING (key_kind, key))"
+        # a record alone is no merger: it stays as it was read
+        " SELECT key_kind, key, first_ord, n, title, doi, abstract, journal, year, pdf_url, url, authors, citations_count, references_count, open_access, source, keywords FROM fused WHERE n > 1"
+        " UNION ALL SELECT key_kind, key, ord, 1, title, doi, abstract, journal, year, pdf_url, url, array_to_string(authors, '|'), citations_count, references_count, open_access, source, array_to_string(keywords, '|')"
+        " FROM (SELECT *, count(*) OVER (PARTITION BY key_kind, key) AS copies FROM keyed) WHERE copies = 1"
+    )
     out = {
         "p3_found": _organisations(),
         "p3_authors": _paper_authors(),
@@ -171,6 +227,21 @@ def statements() -> dict[str, str]:
         "distinct_authors": "SELECT name, min(paper_id) AS first_ord FROM (SELECT paper_id, unnest(authors) AS name FROM papers) WHERE contains(lower(name), 'wanda') GROUP BY 1",
         "author_papers": "SELECT paper_id, citations_count FROM papers WHERE list_contains(authors, 'Aiko Zovipibran')",
         "author_search": "SELECT author_id, name FROM authors WHERE contains(lower(name), 'wanda') AND length(orcid) > 0",
+        "author_institution_search": "SELECT author_id, name FROM authors WHERE contains(lower(name), 'albert') AND len(list_filter(affiliations, lambda x: contains(lower(x), 'hospital'))) > 0",
+        "journal_search": "SELECT journal_id, title, issn FROM journals WHERE contains(lower(title), 'letters') AND is_oa",
+        "journal_articles": "SELECT paper_id, journal FROM papers WHERE lower(journal) IN (SELECT lower(title) FROM journals WHERE is_oa) AND (contains(lower(title), 'gels') OR coalesce(contains(lower(abstract), 'gels'), false) OR coalesce(len(list_filter(authors, lambda x: contains(lower(x), 'gels'))), 0) > 0)",
+        "concept_works": f"WITH {_PAYLOADS} SELECT paper_id, title FROM papers WHERE paper_id IN (SELECT id FROM (SELECT id, unnest({_listed('x')}) AS c FROM (SELECT id, json_extract(p, '$.concepts') AS x FROM v WHERE owner = 'paper')) WHERE lower(json_extract_string(c, '$.display_name')) = 'medicine' AND json_extract_string(c, '$.score')::DOUBLE >= 0.3)",
+        "related_works": "SELECT citing_id AS paper_id, nth - 1 AS nth, cited_id AS other_id FROM (SELECT *, row_number() OVER (PARTITION BY citing_id ORDER BY cited_id) AS nth FROM (SELECT DISTINCT citing_id, cited_id FROM citation_edges)) WHERE nth <= 3 AND cited_id IN (SELECT paper_id FROM papers)",
+        "payload_filter": f"WITH {_PAYLOADS} SELECT paper_id, source FROM papers JOIN v ON v.id = paper_id AND owner = 'paper' WHERE {_payload_holds(('concepts[*].display_name',), 'lower(x) = ' + repr('medicine'))} AND {_payload_holds(('authorships[*].institutions[*].display_name', 'author[*].affiliation[*].name', 'bibjson.author[*].affiliation', 'MedlineCitation.Article.AuthorList[*].AffiliationInfo[*].Affiliation'), 'contains(lower(x), ' + repr('hospital') + ')')}",
+        "page_number": "SELECT paper_id, title FROM papers ORDER BY paper_id LIMIT 50 OFFSET 100",
+        "dedup_first_records": f"WITH {_KEYED} SELECT paper_id, title, source, year FROM (SELECT *, row_number() OVER (PARTITION BY key_kind, key ORDER BY ord) AS rn FROM keyed) WHERE rn = 1",
+        "graph_nodes": "SELECT node_id, ord AS first_ord, title, year FROM (SELECT coalesce(nullif(doi, ''), 'title:' || sha256(lower(title))) AS node_id, paper_id AS ord, title, year, row_number() OVER (PARTITION BY coalesce(nullif(doi, ''), 'title:' || sha256(lower(title))) ORDER BY paper_id) AS rn FROM papers) WHERE rn = 1 AND node_id IS NOT NULL",
+        "graph_json": f"WITH {_EDGES} SELECT 'node' AS kind, '{{\"paper_id\":' || paper_id || coalesce(',\"year\":' || year, '') || '}}' AS json FROM papers UNION ALL SELECT 'edge', '{{\"citing_id\":' || citing_id || ',\"cited_id\":' || cited_id || '}}' FROM e UNION ALL SELECT 'stats', '{{\"node_count\":' || (SELECT count(*) FROM papers) || ',\"edge_count\":' || (SELECT count(*) FROM e) || '}}'",
+        "bfs_depth2": _expanded(),
+        "pagerank_converged": _converged(),
+        "inverted_index_text": f"WITH {_PAYLOADS}, {_INVERTED} SELECT id AS paper_id, md5(text) AS text_md5 FROM inverted",
+        "section_full_text": f"WITH {_SECTIONS}{_FULL} SELECT doc_id, section::BIGINT AS section, title, length(text) AS n_chars, md5(text) AS text_md5 FROM full_text",
+        "section_lookup": f"WITH {_SECTIONS} SELECT doc_id, min(section)::BIGINT AS section, first(title ORDER BY section) AS title, md5(first(text ORDER BY section)) AS text_md5 FROM t WHERE contains(lower(title), 'method') GROUP BY 1",
         "institution_search": "SELECT institution_id, name FROM institutions WHERE country = 'MX' AND type = 'healthcare'",
         "journal_works": "SELECT journal_id, count(*) AS works, sum(coalesce(citations_count, 0))::BIGINT AS citations FROM papers p JOIN journals j ON p.journal = j.title GROUP BY 1",
         "batch_lookup_semi": "SELECT paper_id, title FROM papers WHERE paper_id IN (SELECT cited_id FROM citation_edges)",
@@ -196,21 +267,8 @@ def statements() -> dict[str, str]:
         "doc_titles": f"WITH {_BLOCKS} SELECT doc_id, first(content ORDER BY ord) AS title FROM b WHERE type = 'title' GROUP BY 1",
         "abstract_finder": f"WITH {_BLOCKS} SELECT doc_id, md5(coalesce(first({_strip(_BARE)} ORDER BY ord) FILTER (WHERE type = 'text' AND starts_with(lower(content), 'abstract')), CASE WHEN length(first(content ORDER BY ord) FILTER (WHERE type = 'text' AND length(content) > 50)) < 2000 THEN first(content ORDER BY ord) FILTER (WHERE type = 'text' AND length(content) > 50) END)) AS abstract_md5 FROM b GROUP BY 1",
         "stream_first_seen": f"WITH {_KEYED} SELECT DISTINCT key_kind, key FROM keyed",
-        "dedup_merge": (
-            f"WITH {_KEYED}, {_KEYWORDS}, m AS (SELECT key_kind, key, min(ord) AS first_ord, count(*) AS n, coalesce(first(title ORDER BY ord) FILTER (WHERE title <> ''), first(title ORDER BY ord)) AS title, "
-            + ", ".join((
-                _best("doi", ("crossref", "openalex", "semantic_scholar", "pubmed", "wos")), _best("abstract", ("semantic_scholar", "openalex", "pubmed", "crossref", "core")),
-                _best("journal", ("crossref", "openalex", "pubmed", "semantic_scholar")), _best("year", ("crossref", "openalex", "pubmed", "semantic_scholar"), "int"),
-                _best("pdf_url", ("core", "openalex", "semantic_scholar", "doaj", "arxiv", "biorxiv")), _best("url", ()), _authors(),
-            ))
-            + ", max(citations_count) AS citations_count, max(references_count) AS references_count, coalesce(bool_or(open_access), false) AS open_access, array_to_string(list_sort(list(DISTINCT source)), ',') AS source"
-            " FROM (SELECT *, list_transform(string_split(source, ','), lambda s: trim(s)) AS ss FROM keyed) GROUP BY 1, 2)"
-            f", fused AS (SELECT key_kind, key, first_ord, n, title, doi, abstract, journal, year, pdf_url, url, array_to_string({_PICK}, '|') AS authors, citations_count, references_count, open_access, source, coalesce(keywords, '') AS keywords FROM m LEFT JOIN k3 USING (key_kind, key))"
-            # a record alone is no merger: it stays as it was read
-            " SELECT key_kind, key, first_ord, n, title, doi, abstract, journal, year, pdf_url, url, authors, citations_count, references_count, open_access, source, keywords FROM fused WHERE n > 1"
-            " UNION ALL SELECT key_kind, key, ord, 1, title, doi, abstract, journal, year, pdf_url, url, array_to_string(authors, '|'), citations_count, references_count, open_access, source, array_to_string(keywords, '|')"
-            " FROM (SELECT *, count(*) OVER (PARTITION BY key_kind, key) AS copies FROM keyed) WHERE copies = 1"
-        ),
+        "dedup_merge": fused,
+        "lookup_merge_all": f"SELECT key, n, title, year, journal, citations_count, source FROM ({fused}) WHERE key_kind = 'doi' AND n > 1",
         "ris_export": (
             "SELECT paper_id, concat_ws(chr(10), CASE WHEN coalesce(journal, '') <> '' THEN 'TY  - JOUR' ELSE 'TY  - GEN' END, 'TI  - ' || nullif(title, ''), nullif(array_to_string(list_transform(authors, lambda x: 'AU  - ' || x), chr(10)), ''),"
             " 'PY  - ' || nullif(year, 0)::VARCHAR, 'JO  - ' || nullif(journal, ''), 'DO  - ' || nullif(doi, ''), 'UR  - ' || nullif(url, ''), 'AB  - ' || nullif(abstract, ''), nullif(array_to_string(list_transform(keywords, lambda x: 'KW  - ' || x), chr(10)), ''), 'DB  - ' || nullif(source, ''), 'ER  -') AS entry FROM papers"

@@ -82,6 +82,37 @@ def scopus_entries(rows: DataFrame, record_id: str, payload: str) -> DataFrame:
     )
 
 
+def scopus_records(rows: DataFrame, record_id: str, payload: str) -> DataFrame:
+    """Abstract records: a list of authors or a single one, by indexed name, else the indexed name they prefer; the address is the first link."""
+    own, preferred = "ce:indexed-name", "preferred-name"
+    name = lambda a: F.coalesce(truthy(a[own]), truthy(a[preferred][own]))
+    at = lambda key: truthy(F.get_json_object("p", f"$.coredata['{key}']"))
+    links = F.from_json(F.get_json_object("p", "$.coredata.link"), "ARRAY<STRUCT<`@href`: STRING>>")
+    return _canonical(
+        _payload(rows, record_id, payload), record_id, "elsevier", title=at("dc:title"), authors=_names(_list("authors.author", f"STRUCT<`{own}`: STRING, `{preferred}`: STRUCT<`{own}`: STRING>>"), name), abstract=at("dc:description"), doi=normalize_doi(at("prism:doi")),
+        year=F.expr("try_cast(left(get_json_object(p, \"$.coredata['prism:coverDate']\"), 4) AS INT)"), journal=at("prism:publicationName"), url=F.get(links, F.lit(0))["@href"], citations_count=F.nullif(F.expr("try_cast(get_json_object(p, \"$.coredata['citedby-count']\") AS BIGINT)"), F.lit(0)),
+    )
+
+
+def cited_references(rows: DataFrame, record_id: str, payload: str) -> DataFrame:
+    """References of a citation index: authors set apart by semicolons, a cited work for the journal."""
+    authors = F.transform(F.split(_text("citedAuthor"), ";"), strip)
+    return _canonical(
+        _payload(rows, record_id, payload), record_id, "wos", title=_text("citedTitle"), authors=authors, doi=normalize_doi(_text("doi")), year=F.expr("try_cast(get_json_object(p, '$.year') AS INT)"), journal=_text("citedWork"),
+    )
+
+
+def directory_journals(rows: DataFrame, record_id: str, payload: str) -> DataFrame:
+    """(record_id, journal_id, title, eissn, pissn, publisher, subjects, has_apc, licenses, url) of a directory's journals; those without a title are left out."""
+    p = _payload(rows, record_id, payload)
+    terms = lambda path, field: _names(_list(path, f"STRUCT<{field}: STRING>"), lambda x: x[field])
+    out = p.select(
+        record_id, _text("id").alias("journal_id"), _text("bibjson.title").alias("title"), _text("bibjson.eissn").alias("eissn"), _text("bibjson.pissn").alias("pissn"), _text("bibjson.publisher.name").alias("publisher"),
+        terms("bibjson.subject", "term").alias("subjects"), F.coalesce(F.expr("try_cast(get_json_object(p, '$.bibjson.apc.has_apc') AS BOOLEAN)"), F.lit(False)).alias("has_apc"), terms("bibjson.license", "type").alias("licenses"), _text("bibjson.ref.journal").alias("url"),
+    )
+    return out.filter("title IS NOT NULL")
+
+
 def scholar_results(rows: DataFrame, record_id: str, payload: str) -> DataFrame:
     """Result entries: authors, journal and year from a summary in parts set apart by dashes; a PDF among the resources."""
     parts = F.split(_text("publication_info.summary"), r"\s-\s")
