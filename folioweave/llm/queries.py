@@ -102,8 +102,31 @@ _SETS = (
 )
 
 
+# The words of title and abstract with their occurrences, and each pair's common ones: every pair of texts that share a word.
+_MARKUP = r"</?[A-Za-z][^<>]{0,200}>|&#?\w{1,8};"
+_RUNS = r"'[\p{L}\p{N}]+'"
+_BAGS = (
+    "f AS (SELECT paper_id, abstract, concat_ws(' ', nullif(title, ''), nullif(abstract, '')) AS txt FROM papers)"
+    f", k AS (SELECT paper_id, regexp_extract_all(lower(CASE WHEN contains(txt, '<') OR contains(txt, '&') THEN regexp_replace(txt, '{_MARKUP}', ' ', 'g') ELSE txt END), {_RUNS}) AS ws,"
+    f" len(regexp_extract_all(CASE WHEN contains(abstract, '<') OR contains(abstract, '&') THEN regexp_replace(abstract, '{_MARKUP}', ' ', 'g') ELSE abstract END, {_RUNS})) AS n_abstract FROM f)"
+    ", l AS (SELECT paper_id, ws, len(ws) AS n, md5(array_to_string(list_sort(ws), ' ')) AS bag FROM k WHERE n_abstract >= 30)"
+)
+
+
+def _common(rows: str) -> str:
+    return (
+        f"w AS (SELECT id, n, w, row_number() OVER (PARTITION BY id, w) AS nth FROM (SELECT id, n, unnest(ws) AS w FROM {rows}))"
+        ", c AS (SELECT a.id AS i, b.id AS j, a.n + b.n AS total, count(*) AS common FROM w a JOIN w b ON a.w = b.w AND a.nth = b.nth AND a.id < b.id AND 3 * least(a.n, b.n) >= 2 * greatest(a.n, b.n) GROUP BY 1, 2, 3)"
+        ", similar_pairs AS (SELECT i, j FROM c WHERE 3 * common >= 2 * (total - common))"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
+    classes = "cl AS (SELECT bag, min(paper_id) AS id, count(*) AS copies, any_value(ws) AS ws, any_value(n) AS n FROM l GROUP BY 1)"
     return {
+        "p2_found": f"WITH {_BAGS}, r AS (SELECT paper_id AS id, n, ws FROM l), {_common('r')} SELECT i AS first_id, j AS second_id FROM similar_pairs",
+        "p2_links": f"WITH {_BAGS}, {classes}, {_common('cl')}, k2 AS (SELECT id, count(*) AS links FROM (SELECT i AS id FROM similar_pairs UNION ALL SELECT j FROM similar_pairs) GROUP BY 1)"
+        " SELECT l.paper_id AS id, cl.id AS class_rep, copies, coalesce(links, 0) AS links FROM l JOIN cl USING (bag) LEFT JOIN k2 ON k2.id = cl.id",
         "p5_found": _SETS + " SELECT first_id, id AS second_id FROM m WHERE id <> first_id",
         "p5_records": _SETS + " SELECT first_id AS record_id, count(*) AS copies, false AS collided FROM m GROUP BY 1",
     }
