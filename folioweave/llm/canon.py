@@ -37,9 +37,34 @@ def _compose(text: Column) -> Column:
     return F.array_join(F.transform(pieces, one), "")
 
 
+def _variants() -> tuple[str, str]:
+    """Letters that are forms of others, as ligatures and mathematical letters are: pairs with what they stand for, and a class of them all."""
+    import sys
+    import unicodedata
+
+    found = [c for c in map(chr, range(0xAA, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L" and unicodedata.decomposition(c).startswith("<")]
+    ranges: list[list[int]] = []
+    for c in map(ord, found):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "\t".join(f"{c}\n{unicodedata.normalize('NFKC', c)}" for c in found), "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+_VARIANTS, _VARIANT = _variants()
+
+
+def _plain_letters(text: Column) -> Column:
+    """``text`` with each letter that is a form of others replaced by them."""
+    known = F.str_to_map(F.lit(_VARIANTS), F.lit("\t"), F.lit("\n"))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+
+
 def canonical_characters(text: Column) -> Column:
-    """Full-width forms become ASCII, letters with combining marks one character, markup and the commonest entities plain text."""
+    """Forms of letters and full-width ASCII become plain letters, letters with combining marks one character, markup and the commonest entities plain text."""
     plain = F.translate(text, _WIDE, _PLAIN)
+    plain = F.when(plain.rlike(_VARIANT), _plain_letters(plain)).otherwise(plain)
     plain = F.when(plain.rlike(r"\p{M}"), _compose(plain)).otherwise(plain)
     stripped = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"</?[A-Za-z][^<>]*>", ""), "&amp;", "&"), r"&(lt|gt|quot|apos|nbsp|#\d+);", " ")
     return F.when(plain.rlike("[<&]"), stripped).otherwise(plain)
@@ -68,6 +93,11 @@ def is_filler(text: Column) -> Column:
     return text.isNull() | F.when(F.length(shown) > longest, F.lit(False)).otherwise((bare == "") | bare.isin(*FILLERS))
 
 
+def checked(text: Column) -> Column:
+    """128 bits of a text and 64 independent ones as a check, as 24 bytes: texts that collide in the first still differ."""
+    return F.concat(fingerprint(text), F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
+
+
 def fingerprint(*parts: Column) -> Column:
     """128 bits of the parts, NULL parts told apart from empty ones, as 16 bytes."""
     told = [F.when(p.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.length(p).cast("string"), F.lit(":"), p)) for p in parts]

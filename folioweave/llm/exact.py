@@ -13,28 +13,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioweave.llm.canon import doi_key, fingerprint, title_key
+from folioweave.llm.canon import checked, doi_key, title_key
 from folioweave.operators.joins import skew_safe_left_join
 from folioweave.session import materialise
 
+HASH_BYTES = 16  # of a key; the rest of it is the check
+
 
 def keyed(papers: DataFrame, record_id: str = "paper_id") -> DataFrame:
-    """(id, title_hash, doi_hash, check): fingerprints of each record with a title, and an independent 64-bit check of them."""
+    """(id, title_hash, doi_hash): fingerprints of each record with a title, each with its check behind it."""
     t, d = title_key(F.col("title")), doi_key(F.col("doi"))
     keys = papers.select(F.col(record_id).alias("id"), t.alias("t"), d.alias("d")).filter("t IS NOT NULL")
-    return keys.select("id", fingerprint(F.col("t")).alias("title_hash"), F.when(F.col("d").isNotNull(), fingerprint(F.col("d"))).alias("doi_hash"), F.xxhash64("t", F.coalesce("d", F.lit(""))).alias("check"))
+    return keys.select("id", checked(F.col("t")).alias("title_hash"), F.when(F.col("d").isNotNull(), checked(F.col("d"))).alias("doi_hash"))
 
 
 def pair_counts(keys: DataFrame) -> DataFrame:
-    """One row per distinct (title, DOI): copies, smallest id, and whether the hash stands for more than one text.
+    """One row per distinct (title, DOI): copies and smallest id.
 
-    All aggregates have fixed width, so Spark combines them before the shuffle; a hot pair
-    leaves each map task as one row.  ``check`` is part of the key, so two texts under one
-    128-bit hash would stay apart; ``collided`` says that it happened.
+    All aggregates have fixed width, so Spark combines them before the shuffle; a hot pair leaves each map task as one row.
+    The check is part of the key all the way, so two texts under one 128-bit hash stay apart.
     """
-    counts = keys.groupBy("title_hash", "doi_hash", "check").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
-    checks = counts.groupBy("title_hash", "doi_hash").agg(F.sum("copies").alias("copies"), F.min("least").alias("least"), (F.count("*") > 1).alias("collided"))
-    return checks
+    return keys.groupBy("title_hash", "doi_hash").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
 
 
 def copy_sets(papers: DataFrame, record_id: str = "paper_id") -> tuple[DataFrame, DataFrame]:
@@ -45,9 +44,9 @@ def copy_sets(papers: DataFrame, record_id: str = "paper_id") -> tuple[DataFrame
     one = F.col("lo") == F.col("hi")
     joined = pairs.join(titles, "title_hash")
     joined = joined.withColumn("set_doi", F.when(F.col("doi_hash").isNull() & one, F.col("lo")).otherwise(F.col("doi_hash")))
-    sets = joined.groupBy("title_hash", "set_doi").agg(F.min("least").alias("set_id"), F.sum("copies").alias("set_size"), F.bool_or("collided").alias("collided"), F.collect_set(F.coalesce("doi_hash", F.lit(b""))).alias("own"))
+    sets = joined.groupBy("title_hash", "set_doi").agg(F.min("least").alias("set_id"), F.sum("copies").alias("set_size"), F.collect_set(F.coalesce("doi_hash", F.lit(b""))).alias("own"))
     # ``own`` holds the set's DOI and the missing one: two entries at most
-    return keys, sets.select("title_hash", F.explode("own").alias("own"), "set_id", "set_size", "collided").withColumn("pair", F.concat("title_hash", "own"))
+    return keys, sets.select("title_hash", F.explode("own").alias("own"), "set_id", "set_size").withColumn("pair", F.concat("title_hash", "own"))
 
 
 def members(papers: DataFrame, record_id: str = "paper_id", least_size: int = 2) -> DataFrame:
@@ -60,9 +59,11 @@ def members(papers: DataFrame, record_id: str = "paper_id", least_size: int = 2)
 
 
 def collapsed(papers: DataFrame, record_id: str = "paper_id") -> DataFrame:
-    """(record_id, copies, collided): one row for each set of copies, under its smallest id."""
+    """(record_id, copies, collided): one row for each set of copies, under its smallest id; ``collided`` if another title has the same 128-bit hash."""
     _, sets = copy_sets(papers, record_id)
-    return sets.select("set_id", "set_size", "collided").distinct().select(F.col("set_id").alias("record_id"), F.col("set_size").alias("copies"), "collided")
+    each = materialise(sets.select("title_hash", "set_id", "set_size").distinct().withColumn("h", F.substring("title_hash", 1, HASH_BYTES)))
+    twins = each.select("h", "title_hash").distinct().groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", F.lit(True).alias("twin"))
+    return each.join(twins, "h", "left").select(F.col("set_id").alias("record_id"), F.col("set_size").alias("copies"), F.coalesce("twin", F.lit(False)).alias("collided"))
 
 
 def found(papers: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from folioweave.llm import canon, exact, linkage, names, truncation
+from folioweave.llm import canon, exact, languages, linkage, names, survivor, truncation
 
 
 def test_slips_of_rare_words_reach_the_name_pass(spark):
@@ -63,7 +63,7 @@ def test_short_texts_are_judged_by_visible_cuts(spark):
     rows = [(1, "We study the slow …", "a"), (2, "Plants grow [truncated]", "a"), (3, "A short note.", "a"), (4, "An editorial", "a"), (5, "No abstract available.", "a"), (6, "...", "a"), (7, "<p>N/A</p>", "a"), (8, None, "a")]
     df = spark.createDataFrame(rows, "paper_id bigint, abstract string, source string")
     got = {r.id: r.reason for r in truncation.judged(df, "abstract", "paper_id", "source").collect()}
-    assert got == {1: "ellipsis", 2: "remark", 3: None, 4: None}
+    assert got == {1: "mark", 2: "mark", 3: None, 4: None}
     assert [tuple(r) for r in truncation.rates(truncation.judged(df, "abstract", "paper_id", "source")).collect()] == [("a", 4, 2, 0.5)]
 
 
@@ -71,3 +71,27 @@ def test_names_of_towns_keep_their_short_words():
     place = lambda n: names.parse_organisation(n)[1]
     assert place("New York University") == place("NEW YORK UNIV") == "newyork" and place("York University") == place("University of York") == "york"
     assert names.ratio("newyork", "york") < 0.85 and place("MIT") == "mit" and place("ETH Zurich") == "zurich"
+
+
+def test_forms_of_letters_are_folded(spark):
+    titles = ["\ufb01nite \ufb01eld", "\u212bngström", "Škoda řeka žába", "Привет йод", "\U0001d40balf \u2115"]
+    rows = [(2 * i + k, unicodedata.normalize(f, t), None) for i, t in enumerate(titles) for k, f in enumerate(("NFC", "NFKD"))]
+    got = {tuple(r) for r in exact.found(spark.createDataFrame(rows, "paper_id bigint, title string, doi string")).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(len(titles))}
+
+
+def test_colliding_hashes_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(canon, "fingerprint", lambda *parts: F.lit(bytes(16)))
+    df = spark.createDataFrame([(1, "One", None), (2, "ONE!", "10.100/a"), (3, "Two", None), (4, "Three", None), (5, "three", None)], "paper_id bigint, title string, doi string")
+    assert {tuple(r) for r in exact.found(df).collect()} == {(1, 2), (4, 5)}
+    assert {tuple(r) for r in exact.collapsed(df).collect()} == {(1, 2, True), (3, 1, True), (4, 2, True)}
+
+
+def test_trust_and_the_latest_moment(spark):
+    at = "2024-01-02 00:00:00"
+    rows = [(1, 1, "a", "x", at), (1, 2, "b", "y", at), (1, 3, "c", "z", "2023-05-05 00:00:00"), (1, 4, "c", "z", None), (2, 5, "a", "x", "2024-01-01 00:00:00"), (2, 6, "b", "y", at), (2, 7, "a", "x", "2024-01-01 12:00:00"), (3, 8, "a", None, at)]
+    df = spark.createDataFrame(rows, "set_id int, id int, source string, v string, t string").withColumn("fetched_at", F.col("t").cast("timestamp_ntz"))
+    of = lambda **k: {r.set_id: (r.v, r.v_id) for r in survivor.survivors(df, [survivor.Field("v", F.col("v"), **k)]).collect()}
+    assert of(half_life_days=0.0, trust={"b": 2.0}) == {1: ("y", 2), 2: ("y", 6)} and of(half_life_days=0.0, trust={"a": 2.0}) == {1: ("x", 1), 2: ("y", 6)}
+    assert of(half_life_days=365.0, trust={"b": 3.0}) == {1: ("y", 2), 2: ("y", 6)} and of() == {1: ("x", 1), 2: ("x", 7)}  # two votes outweigh a later one
+    assert survivor.trust(("p", "q")) == {"p": 2.0, "q": 1.5}
