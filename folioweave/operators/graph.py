@@ -173,13 +173,12 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, cap: int = 10) ->
     front.  ``nodes`` is (paper_id, depth) at the first depth met, ``edges`` a set.
     """
     e = edge_set(edges)
-    front = seeds.select("paper_id").distinct()
-    front = front.select(F.row_number().over(Window.orderBy("paper_id")).alias("o"), "paper_id")  # the seeds asked for
+    front = row_numbers(seeds.select("paper_id").distinct(), [F.col("paper_id")], "o")
     nodes = front.select("paper_id", F.lit(0).alias("depth"))
     found = None
     for d in range(1, depth + 1):
-        into = e.join(F.broadcast(front), e.cited_id == front.paper_id).select("o", F.lit(0).alias("side"), F.col("citing_id").alias("other"), "citing_id", "cited_id")
-        out = e.join(F.broadcast(front), e.citing_id == front.paper_id).select("o", F.lit(1).alias("side"), F.col("cited_id").alias("other"), "citing_id", "cited_id")
+        into = e.join(front, e.cited_id == front.paper_id).select("o", F.lit(0).alias("side"), F.col("citing_id").alias("other"), "citing_id", "cited_id")
+        out = e.join(front, e.citing_id == front.paper_id).select("o", F.lit(1).alias("side"), F.col("cited_id").alias("other"), "citing_id", "cited_id")
         place = F.row_number().over(Window.partitionBy("o", "side").orderBy("other"))
         added = materialise(into.unionByName(out).withColumn("nth", place).filter(F.col("nth") <= cap))  # 2 * cap per paper of the front
         nodes = nodes.unionByName(added.select(F.col("other").alias("paper_id"), F.lit(d).alias("depth")))

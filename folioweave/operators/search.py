@@ -136,17 +136,18 @@ def interleave(records: DataFrame, sources: Sequence[str], source: str = "source
     """The first record of each source in turn, then the second of each, and so on; ``name`` is the place from 1.
 
     A place follows from the rank within the source and the sources' sizes alone, a row each,
-    so the merged list is never sorted as a whole.  Records of other sources are left out.
+    so the merged list is never sorted as a whole.  A record of several sources counts for the
+    first it names; records of other sources are left out.
     """
-    own = records.filter(F.col(source).isin(*sources))
-    own = row_numbers(own, [F.col(ord)], "_rank", [source])
-    sizes = {r[source]: r["count"] for r in own.groupBy(source).count().collect()}  # a row per source asked for
+    own = records.withColumn("_own", F.trim(F.split(source, ",")[0])).filter(F.col("_own").isin(*sources))
+    own = row_numbers(own, [F.col(ord)], "_rank", ["_own"])
+    sizes = {r["_own"]: r["count"] for r in own.groupBy("_own").count().collect()}  # a row per source asked for
     place = F.lit(1).cast("long")
-    pos = F.array_position(F.array(*map(F.lit, sources)), F.col(source))
+    pos = F.array_position(F.array(*map(F.lit, sources)), F.col("_own"))
     for i, s in enumerate(sources, 1):
         n = sizes.get(s, 0)
         place = place + F.least(F.lit(n), F.col("_rank") - 1) + F.when((pos > i) & (F.col("_rank") <= n), 1).otherwise(0)
-    return own.withColumn(name, place).drop("_rank")
+    return own.withColumn(name, place).drop("_rank", "_own")
 
 
 def distinct_authors(records: DataFrame, query: str = "", ord: str = "ord") -> DataFrame:

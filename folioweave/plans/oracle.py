@@ -222,7 +222,7 @@ def statements() -> dict[str, str]:
         "category_two_step_limit": "SELECT paper_id, journal FROM (SELECT * FROM (SELECT * FROM papers ORDER BY paper_id LIMIT 250) WHERE contains(lower(journal), 'letters') ORDER BY paper_id LIMIT 50)",
         **{k: f"SELECT paper_id, row_number() OVER (ORDER BY {o}) AS rank FROM papers" for k, o in order.items()},
         "page_offset": "SELECT paper_id, citations_count FROM papers ORDER BY coalesce(citations_count, 0) DESC, paper_id LIMIT 50 OFFSET 120",
-        "interleave_round_robin": f"SELECT paper_id, source, row_number() OVER (ORDER BY rn, list_position({list(sources)!r}, source)) AS place FROM (SELECT paper_id, source, row_number() OVER (PARTITION BY source ORDER BY paper_id) AS rn FROM papers WHERE source IN {sources!r})",
+        "interleave_round_robin": f"SELECT paper_id, source, row_number() OVER (ORDER BY rn, list_position({list(sources)!r}, own)) AS place FROM (SELECT paper_id, source, own, row_number() OVER (PARTITION BY own ORDER BY paper_id) AS rn FROM (SELECT *, trim(split_part(source, ',', 1)) AS own FROM papers) WHERE own IN {sources!r})",
         "source_counts": "SELECT source, count(*) AS papers FROM (SELECT unnest(regexp_split_to_array(source, '\\s*,\\s*')) AS source FROM papers) GROUP BY 1",
         "distinct_authors": "SELECT name, min(paper_id) AS first_ord FROM (SELECT paper_id, unnest(authors) AS name FROM papers) WHERE contains(lower(name), 'wanda') GROUP BY 1",
         "author_papers": "SELECT paper_id, citations_count FROM papers WHERE list_contains(authors, 'Aiko Zovipibran')",

@@ -9,6 +9,7 @@ is used, and only under a local master.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -29,6 +30,11 @@ def get_spark(app: str = "folioweave", master: str | None = None, **conf: str) -
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
+    # workers on this machine find the package beside the one that runs; on a cluster it is installed (pyproject.toml)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     return b.getOrCreate()
 
 
@@ -57,14 +63,19 @@ def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/folioweave-tables/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
+    forget_later(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when Python ends, or at the next ``drop_materialised``."""
     if not _written:
         atexit.register(drop_materialised)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialised() -> None:
-    """Delete every table this process has written; called when Python ends."""
+    """Delete every table and stream folder this process has written; called when Python ends."""
     while _written:
         path, spark = _written.popitem()
         try:

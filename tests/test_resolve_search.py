@@ -67,6 +67,8 @@ def test_interleave(spark):
     assert got == [2, 0, 5, 4, 1, 6, 3, 7]
     places = sorted(r.place for r in search.interleave(df, ["b", "a", "c"]).collect())
     assert places == list(range(1, 9))
+    merged = spark.createDataFrame([(1, "b,a"), (2, "a"), (3, " b , c"), (4, "x,a")], "ord bigint, source string")
+    assert [(r.ord, r.source) for r in search.interleave(merged, ["a", "b"]).orderBy("place").collect()] == [(2, "a"), (1, "b,a"), (3, " b , c")]
 
 
 def test_row_numbers_match_windows(spark):
