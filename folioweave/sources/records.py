@@ -23,7 +23,8 @@ def _unwrapped(payload: Column) -> Column:
 
 
 def _at(path: str) -> Column:
-    return F.get_json_object("p", "$." + path)
+    """The value at a path of the parsed payload ``v``, lists and objects as JSON."""
+    return F.try_variant_get("v", "$." + path, "string")
 
 
 def _text(path: str) -> Column:
@@ -31,7 +32,7 @@ def _text(path: str) -> Column:
 
 
 def _int(path: str) -> Column:
-    return F.expr(f"try_cast(get_json_object(p, '$.{path}') AS BIGINT)")
+    return _at(path).try_cast("bigint")
 
 
 def _list(path: str, element: str = "STRING") -> Column:
@@ -63,7 +64,7 @@ def _openalex() -> dict[str, Column]:
         "abstract": inverted_text(F.from_json(_at("abstract_inverted_index"), "MAP<STRING, ARRAY<INT>>")),
         "doi": F.regexp_replace(_text("doi"), r"^https?://[^/]+/", ""), "year": _int("publication_year").cast("int"), "journal": _text("primary_location.source.display_name"),
         "url": F.coalesce(_text("primary_location.landing_page_url"), _text("id")), "pdf_url": F.coalesce(F.when(F.lower(oa).endswith(".pdf"), oa), _text("primary_location.pdf_url")),
-        "citations_count": _int("cited_by_count"), "references_count": F.nullif(F.size(_list("referenced_works")), F.lit(-1)).cast("long"), "open_access": F.expr("try_cast(get_json_object(p, '$.open_access.is_oa') AS BOOLEAN)"),
+        "citations_count": _int("cited_by_count"), "references_count": F.nullif(F.size(_list("referenced_works")), F.lit(-1)).cast("long"), "open_access": _at("open_access.is_oa").try_cast("boolean"),
         "keywords": F.slice(_names(_list("concepts", "STRUCT<display_name: STRING>"), lambda c: c["display_name"]), 1, 5),
     }
 
@@ -84,7 +85,7 @@ def _crossref() -> dict[str, Column]:
 def _semantic_scholar() -> dict[str, Column]:
     return {
         "title": _text("title"), "authors": _names(_list("authors", "STRUCT<name: STRING>"), lambda a: a["name"]), "abstract": _text("abstract"), "doi": _text("externalIds.DOI"), "year": _int("year").cast("int"), "journal": _text("venue"),
-        "url": _text("url"), "pdf_url": _text("openAccessPdf.url"), "citations_count": _int("citationCount"), "references_count": _int("referenceCount"), "open_access": F.expr("try_cast(get_json_object(p, '$.isOpenAccess') AS BOOLEAN)"),
+        "url": _text("url"), "pdf_url": _text("openAccessPdf.url"), "citations_count": _int("citationCount"), "references_count": _int("referenceCount"), "open_access": _at("isOpenAccess").try_cast("boolean"),
         "keywords": F.coalesce(_list("fieldsOfStudy"), F.array().cast("array<string>")),
     }
 
@@ -148,9 +149,14 @@ def reader(source: str) -> Callable[[], dict[str, Column]]:
 
 
 def readable(landing: DataFrame, record_id: str, payload: str) -> DataFrame:
-    """(record_id, source, p): payloads that are JSON, unwrapped, under the first of their sources."""
+    """(record_id, source, p, v): payloads that are JSON, unwrapped, as text and parsed, under the first of their sources."""
     rows = landing.select(F.col(record_id), F.trim(F.split("source", ",")[0]).alias("source"), _unwrapped(F.col(payload)).alias("p"))
-    return rows.filter(F.expr("try_parse_json(p)").isNotNull())
+    return parsed(rows)
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``v``, the payload ``p`` parsed once for all paths that are read; those that are no JSON are left out."""
+    return rows.withColumn("v", F.try_parse_json("p")).filter("v IS NOT NULL")
 
 
 def _parsed(rows: DataFrame, source: str, record_id: str) -> DataFrame:
@@ -180,6 +186,6 @@ def parse_all(landing: DataFrame, record_id: str = "paper_id", payload: str = "r
 
 def concepts(landing: DataFrame, record_id: str = "paper_id", payload: str = "raw_data", least: float = 0.3) -> DataFrame:
     """(record_id, concept, score) of the concepts payloads name with a score of ``least`` or more."""
-    rows = landing.select(F.col(record_id), _unwrapped(F.col(payload)).alias("p"))
+    rows = parsed(landing.select(F.col(record_id), _unwrapped(F.col(payload)).alias("p")))
     each = rows.select(record_id, F.explode(F.from_json(_at("concepts"), "ARRAY<STRUCT<display_name: STRING, score: DOUBLE>>")).alias("c"))
     return each.filter(F.col("c.score") >= least).select(record_id, F.col("c.display_name").alias("concept"), F.col("c.score").alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioweave.functions.text import normalize_doi, strip, truthy, year_of
-from folioweave.sources.records import _list, _names, _text
+from folioweave.sources.records import _list, _names, _text, parsed
 
 _NONE = "array<string>"
 
@@ -65,7 +65,7 @@ def arxiv_entries(pages: DataFrame, record_id: str, xml: str) -> DataFrame:
 
 
 def _payload(rows: DataFrame, record_id: str, payload: str) -> DataFrame:
-    return rows.select(F.col(record_id), F.col(payload).alias("p")).filter(F.expr("try_parse_json(p)").isNotNull())
+    return parsed(rows.select(F.col(record_id), F.col(payload).alias("p")))
 
 
 def _key(name: str) -> Column:
