@@ -64,8 +64,9 @@ def _plain_letters(text: Column) -> Column:
 def canonical_characters(text: Column) -> Column:
     """Forms of letters and full-width ASCII become plain letters, letters with combining marks one character, markup and the commonest entities plain text."""
     plain = F.translate(text, _WIDE, _PLAIN)
-    plain = F.when(plain.rlike(_VARIANT), _plain_letters(plain)).otherwise(plain)
-    plain = F.when(plain.rlike(r"\p{M}"), _compose(plain)).otherwise(plain)
+    other = plain.rlike(r"[^\x00-\xa9\xab-\xb4\xb6-\xb9\xbb-\xff]")  # the tests behind it are dear
+    plain = F.when(other & plain.rlike(_VARIANT), _plain_letters(plain)).otherwise(plain)
+    plain = F.when(other & plain.rlike(r"\p{M}"), _compose(plain)).otherwise(plain)
     stripped = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"</?[A-Za-z][^<>]*>", ""), "&amp;", "&"), r"&(lt|gt|quot|apos|nbsp|#\d+);", " ")
     return F.when(plain.rlike("[<&]"), stripped).otherwise(plain)
 
