@@ -171,6 +171,83 @@ def _payload_holds(paths: tuple[str, ...], test: str) -> str:
     return "(" + " OR ".join(f"coalesce(len({values(path)}), 0) > 0" for path in paths) + ")"
 
 
+def _author_payloads() -> str:
+    text = lambda path: f"nullif(json_extract_string(p, '$.{path}'), '')"
+    number = lambda path, kind="BIGINT": f"TRY_CAST(json_extract_string(p, '$.{path}') AS {kind})"
+    bare = lambda x: f"regexp_replace({x}, '^https?://[^/]+/', '')"
+    last = lambda x: f"regexp_replace({x}, '^.*/', '')"
+
+    def names(path: str, inner: str, more: str = "true") -> str:
+        items = _listed(f"json_extract(p, '$.{path}')")
+        return f"list_filter(list_transform(list_filter({items}, lambda o: {more}), lambda o: json_extract_string(o, '{inner}')), lambda x: x IS NOT NULL AND x <> '')"
+
+    preferred, core = '"preferred-name"', "coredata"
+    given = f"nullif(concat_ws(' ', json_extract_string(p, '$.{preferred}.\"given-name\"'), json_extract_string(p, '$.{preferred}.surname')), '')"
+    known = names("last_known_institutions", "$.display_name")
+    plain = {"name": text("name"), "affiliations": names("affiliations", "$")}
+    sources = {
+        "openalex": {"name": text("display_name"), "source_id": last(text("id")), "affiliations": f"CASE WHEN len({known}) > 0 THEN {known} ELSE {names('affiliations', '$.institution.display_name')} END", "orcid": f"coalesce({bare(text('orcid'))}, {bare(text('ids.orcid'))})", "url": text("id"), "paper_count": number("works_count"), "citation_count": number("cited_by_count"), "h_index": number("summary_stats.h_index", "INTEGER")},
+        "semantic_scholar": {**plain, "source_id": text("authorId"), "orcid": bare(text("externalIds.ORCID")), "url": text("url"), "paper_count": number("paperCount"), "citation_count": number("citationCount"), "h_index": number("hIndex", "INTEGER")},
+        "elsevier": {"name": f"coalesce({given}, json_extract_string(p, '$.{preferred}.\"ced:indexed-name\"'))", "source_id": f"regexp_replace(json_extract_string(p, '$.{core}.\"dc:identifier\"'), '^AUTHOR_ID:', '')", "affiliations": "list_slice(" + names('"affiliation-current"', '$."affiliation-name"') + ", 1, 3)", "orcid": f"json_extract_string(p, '$.{core}.orcid')", "paper_count": number(f'{core}."document-count"'), "citation_count": number(f'{core}."citation-count"')},
+        "dblp": {"name": text("author"), "source_id": f"regexp_replace({text('url')}, '^.*/pid/', '')", "affiliations": names("notes.note", "$.text", "json_extract_string(o, '$.\"@type\"') = 'affiliation'"), "url": text("url")},
+        "google_scholar": {"name": text("name"), "source_id": text("author_id"), "affiliations": f"list_filter([{text('affiliations')}], lambda x: x IS NOT NULL)", "url": text("link"), "citation_count": number("cited_by")},
+        "pubmed": plain, "wos": plain,
+    }
+    kinds = {"name": "VARCHAR", "source_id": "VARCHAR", "orcid": "VARCHAR", "url": "VARCHAR", "paper_count": "BIGINT", "citation_count": "BIGINT", "h_index": "INTEGER"}
+    parts = [
+        f"SELECT id AS author_id, source, array_to_string({f['affiliations']}, '|') AS affiliations, " + ", ".join(f"({f.get(c, 'NULL')})::{k} AS {c}" for c, k in kinds.items()) + f" FROM r WHERE source = '{source}'"
+        for source, f in sources.items()
+    ]
+    return f"WITH {_PAYLOADS}, r AS (SELECT id, trim(split_part(source, ',', 1)) AS source, p FROM v JOIN authors ON author_id = id WHERE owner = 'author') SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE name IS NOT NULL"
+
+
+def _paper_payloads() -> str:
+    key = lambda path: ".".join(f'"{x}"' if "-" in x else x for x in path.split("."))
+    raw = lambda path: f"json_extract_string(p, '$.{key(path)}')"
+    text = lambda path: f"nullif({raw(path)}, '')"
+    number = lambda path, kind="BIGINT": f"TRY_CAST({raw(path)} AS {kind})"
+    bag = lambda path: _listed(f"json_extract(p, '$.{key(path)}')")
+    told = lambda items: f"list_filter({items}, lambda x: x IS NOT NULL AND x <> '')"
+    names = lambda path, inner: told(f"list_transform({bag(path)}, lambda o: {inner})")
+    at = lambda field: f"json_extract_string(o, '$.{key(field)}')"
+    first = lambda path: f"nullif(json_extract_string({bag(path)}[1], '$'), '')"
+    whole = lambda path: f"list_transform({bag(path)}, lambda o: json_extract_string(o, '$'))"
+    pdf = lambda x: f"ends_with(lower({x}), '.pdf')"
+    year = lambda x: f"TRY_CAST(nullif(regexp_extract({x}, '(19|20)[0-9]{{2}}'), '') AS INTEGER)"
+    size = lambda path: f"CASE WHEN json_type(p, '$.{path}') = 'ARRAY' THEN json_array_length(p, '$.{path}') END"
+    oa, a = text("open_access.oa_url"), "MedlineCitation.Article"
+    dates = ", ".join(f"TRY_CAST(json_extract_string(p, '$.{key(d)}.\"date-parts\"[0][0]') AS INTEGER)" for d in ("published-print", "published-online", "published", "issued", "created"))
+    links = f"list_filter([{text('downloadUrl')}, {first('sourceFulltextUrls')}], lambda x: x IS NOT NULL)"
+    electronic = whole("info.ee")
+    plain = {"title": "nullif(regexp_replace(" + text("title") + ", '\\s*\\n\\s*', ' ', 'g'), '')", "authors": f"CASE WHEN json_type(p, '$.authors') = 'ARRAY' THEN {names('authors', at('name'))} ELSE list_filter(regexp_split_to_array({text('authors')}, '\\s*;\\s*'), lambda x: x <> '') END", "abstract": text("abstract"), "doi": text("doi"), "year": year(text("date")), "journal": text("journal")}
+    sources = {
+        "openalex": {"title": text("title"), "authors": names("authorships", at("author.display_name")), "abstract": "inverted.text", "doi": f"regexp_replace({text('doi')}, '^https?://[^/]+/', '')", "year": number("publication_year"), "journal": text("primary_location.source.display_name"), "url": f"coalesce({text('primary_location.landing_page_url')}, {text('id')})", "pdf_url": f"coalesce(CASE WHEN {pdf(oa)} THEN {oa} END, {text('primary_location.pdf_url')})", "citations_count": number("cited_by_count"), "references_count": size("referenced_works"), "open_access": number("open_access.is_oa", "BOOLEAN"), "keywords": f"list_slice({names('concepts', at('display_name'))}, 1, 5)"},
+        "crossref": {"title": first("title"), "authors": names("author", f"CASE WHEN {at('family')} <> '' THEN concat_ws(' ', nullif({at('given')}, ''), {at('family')}) END"), "abstract": text("abstract"), "doi": text("DOI"), "year": f"coalesce({dates})", "journal": first("container-title"), "url": text("URL"), "pdf_url": f"json_extract_string(list_filter({bag('link')}, lambda o: {at('content-type')} = 'application/pdf')[1], '$.URL')", "citations_count": number("is-referenced-by-count"), "references_count": f"coalesce({number('references-count')}, {size('reference')})", "open_access": f"nullif(len(list_filter({bag('license')}, lambda o: regexp_matches(lower({at('URL')}), 'creativecommons|open'))) > 0, false)", "keywords": f"list_slice({whole('subject')}, 1, 10)"},
+        "semantic_scholar": {"title": text("title"), "authors": names("authors", at("name")), "abstract": text("abstract"), "doi": text("externalIds.DOI"), "year": number("year"), "journal": text("venue"), "url": text("url"), "pdf_url": text("openAccessPdf.url"), "citations_count": number("citationCount"), "references_count": number("referenceCount"), "open_access": number("isOpenAccess", "BOOLEAN"), "keywords": whole("fieldsOfStudy")},
+        "pubmed": {"title": text(a + ".ArticleTitle"), "authors": names(a + ".AuthorList", f"coalesce(nullif({at('CollectiveName')}, ''), CASE WHEN {at('LastName')} <> '' THEN concat_ws(' ', coalesce(nullif({at('ForeName')}, ''), nullif({at('Initials')}, '')), {at('LastName')}) END)"), "abstract": text(a + ".Abstract.AbstractText"), "doi": text(a + ".ELocationID"), "year": year(f"coalesce({text(a + '.Journal.JournalIssue.PubDate.Year')}, {text(a + '.Journal.JournalIssue.PubDate.MedlineDate')})"), "journal": f"coalesce({text(a + '.Journal.Title')}, {text(a + '.Journal.ISOAbbreviation')})"},
+        "doaj": {"title": text("bibjson.title"), "authors": names("bibjson.author", at("name")), "abstract": text("bibjson.abstract"), "doi": f"json_extract_string(list_filter({bag('bibjson.identifier')}, lambda o: lower({at('type')}) = 'doi')[1], '$.id')", "year": number("bibjson.year"), "journal": text("bibjson.journal.title"), "url": f"json_extract_string(list_filter({bag('bibjson.link')}, lambda o: {at('type')} = 'fulltext')[-1], '$.url')", "open_access": "true", "keywords": f"list_slice({whole('bibjson.keywords')}, 1, 10)"},
+        "core": {"title": text("title"), "authors": names("authors", at("name")), "abstract": text("abstract"), "doi": text("doi"), "year": number("yearPublished"), "journal": text("publisher"), "url": f"list_filter({links}, lambda x: NOT {pdf('x')})[1]", "pdf_url": f"list_filter({links}, lambda x: {pdf('x')})[1]", "citations_count": number("citationCount"), "open_access": "true", "keywords": f"list_slice({whole('topics')}, 1, 10)"},
+        "dblp": {"title": f"nullif(regexp_replace({text('info.title')}, '\\.$', ''), '')", "authors": names("info.authors.author", at("text")), "doi": text("info.doi"), "year": number("info.year"), "journal": text("info.venue"), "url": f"coalesce({text('info.url')}, list_filter({electronic}, lambda x: NOT {pdf('x')})[1])", "pdf_url": f"list_filter({electronic}, lambda x: {pdf('x')})[1]", "keywords": f"list_filter([{text('info.type')}], lambda x: x IS NOT NULL)"},
+        "arxiv": plain, "elsevier": plain, "wos": plain, "google_scholar": plain, "biorxiv": {**plain, "journal": "'bioRxiv'"}, "medrxiv": {**plain, "journal": "'medRxiv'"},
+    }
+    kinds = {"title": "VARCHAR", "abstract": "VARCHAR", "doi": "VARCHAR", "year": "INTEGER", "journal": "VARCHAR", "url": "VARCHAR", "pdf_url": "VARCHAR", "citations_count": "BIGINT", "references_count": "BIGINT", "open_access": "BOOLEAN"}
+    parts = [
+        f"SELECT r.id AS paper_id, source, coalesce(array_to_string({f['authors']}, '|'), '') AS authors, coalesce(array_to_string({f.get('keywords', '[]')}, '|'), '') AS keywords, " + ", ".join(f"({f.get(c, 'NULL')})::{k} AS {c}" for c, k in kinds.items()) + f" FROM r LEFT JOIN inverted ON inverted.id = r.id WHERE source = '{source}'"
+        for source, f in sources.items()
+    ]
+    return f"WITH {_PAYLOADS}, {_INVERTED}, r AS (SELECT id, trim(split_part(source, ',', 1)) AS source, p FROM v JOIN papers ON paper_id = id WHERE owner = 'paper') SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE title IS NOT NULL"
+
+
+# Numbers of shortest paths: those of each length by extending the ones one shorter, as far as any pair needs.
+_BETWEENNESS = (
+    f"WITH RECURSIVE {_EDGES}, g AS (SELECT citing_id AS v, cited_id AS w FROM e WHERE citing_id <> cited_id), n AS (SELECT count(*)::DOUBLE AS n FROM papers)"
+    ", walks AS (SELECT v AS s, w AS t, 1 AS d, 1.0::DOUBLE AS k FROM g UNION ALL SELECT s, w AS t, d + 1, sum(k) FROM walks JOIN g ON g.v = t WHERE d < 40 GROUP BY s, w, d)"
+    ", paths AS (SELECT s, t, min(d) AS d, arg_min(k, d) AS k FROM walks WHERE s <> t GROUP BY 1, 2)"
+    ", passed AS (SELECT a.t AS paper_id, sum(a.k * b.k / p.k) AS share FROM paths a JOIN paths b ON b.s = a.t JOIN paths p ON p.s = a.s AND p.t = b.t AND p.d = a.d + b.d GROUP BY 1)"
+    " SELECT paper_id, round(coalesce(share, 0) / (((SELECT n FROM n) - 1) * ((SELECT n FROM n) - 2)), 9) AS score FROM papers LEFT JOIN passed USING (paper_id)"
+)
+
+
 def statements() -> dict[str, str]:
     sources = ("openalex", "crossref", "semantic_scholar", "pubmed", "core", "arxiv", "dblp", "doaj", "elsevier", "google_scholar", "wos", "biorxiv", "medrxiv")
     ext = "CASE WHEN contains(split_part(lower(u), '?', 1), '.') THEN split_part(split_part(lower(u), '?', 1), '.', -1) ELSE '' END"
@@ -238,6 +315,11 @@ def statements() -> dict[str, str]:
         "graph_nodes": "SELECT node_id, ord AS first_ord, title, year FROM (SELECT coalesce(nullif(doi, ''), 'title:' || sha256(lower(title))) AS node_id, paper_id AS ord, title, year, row_number() OVER (PARTITION BY coalesce(nullif(doi, ''), 'title:' || sha256(lower(title))) ORDER BY paper_id) AS rn FROM papers) WHERE rn = 1 AND node_id IS NOT NULL",
         "graph_json": f"WITH {_EDGES} SELECT 'node' AS kind, '{{\"paper_id\":' || paper_id || coalesce(',\"year\":' || year, '') || '}}' AS json FROM papers UNION ALL SELECT 'edge', '{{\"citing_id\":' || citing_id || ',\"cited_id\":' || cited_id || '}}' FROM e UNION ALL SELECT 'stats', '{{\"node_count\":' || (SELECT count(*) FROM papers) || ',\"edge_count\":' || (SELECT count(*) FROM e) || '}}'",
         "bfs_depth2": _expanded(),
+        "betweenness_all": _BETWEENNESS,
+        "parse_authors": _author_payloads(),
+        "parse_records": _paper_payloads(),
+        # the entities that occur in the table: one by name, and a cut one that stands for no character
+        "clean_markup": f"SELECT paper_id, coalesce({_strip('t')}, '') AS plain FROM (SELECT paper_id, regexp_replace(regexp_replace(replace(replace(abstract, '&#x2', ''), '&amp;', '&'), '<[^>]+>', '', 'g'), '{_WS}+', ' ', 'g') AS t FROM papers)",
         "pagerank_converged": _converged(),
         "inverted_index_text": f"WITH {_PAYLOADS}, {_INVERTED} SELECT id AS paper_id, md5(text) AS text_md5 FROM inverted",
         "section_full_text": f"WITH {_SECTIONS}{_FULL} SELECT doc_id, section::BIGINT AS section, title, length(text) AS n_chars, md5(text) AS text_md5 FROM full_text",

@@ -127,10 +127,12 @@ def _dblp() -> dict[str, Column]:
 
 
 def _flat(separator: str = r"\s*;\s*", journal: str | None = None) -> Callable[[], dict[str, Column]]:
-    """Payloads of a title, a list of authors in one text, and a date."""
+    """Payloads of a title, authors in one text or as a list of names, and a date."""
 
     def parse() -> dict[str, Column]:
-        return {"title": truthy(F.regexp_replace(_text("title"), r"\s*\n\s*", " ")), "authors": _split_names("authors", separator), "abstract": _text("abstract"), "doi": _text("doi"), "year": year_of(_text("date")), "journal": F.lit(journal) if journal else _text("journal")}
+        listed = _names(_list("authors", "STRUCT<name: STRING>"), lambda a: a["name"])
+        authors = F.when(F.ltrim(_at("authors")).startswith("["), listed).otherwise(_split_names("authors", separator))
+        return {"title": truthy(F.regexp_replace(_text("title"), r"\s*\n\s*", " ")), "authors": authors, "abstract": _text("abstract"), "doi": _text("doi"), "year": year_of(_text("date")), "journal": F.lit(journal) if journal else _text("journal")}
 
     return parse
 
