@@ -127,6 +127,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"WITH {_BAGS}, r AS (SELECT paper_id AS id, n, ws FROM l), {_common('r')} SELECT i AS first_id, j AS second_id FROM similar_pairs",
         "p2_links": f"WITH {_BAGS}, {classes}, {_common('cl')}, k2 AS (SELECT id, count(*) AS links FROM (SELECT i AS id FROM similar_pairs UNION ALL SELECT j FROM similar_pairs) GROUP BY 1)"
         " SELECT l.paper_id AS id, cl.id AS class_rep, copies, coalesce(links, 0) AS links FROM l JOIN cl USING (bag) LEFT JOIN k2 ON k2.id = cl.id",
+        # every text comes back as it was, missing ones as empty
+        "p8_roundtrip": "SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, true AS same FROM documents",
         "p5_found": _SETS + " SELECT first_id, id AS second_id FROM m WHERE id <> first_id",
         "p5_records": _SETS + " SELECT first_id AS record_id, count(*) AS copies, false AS collided FROM m GROUP BY 1",
     }
