@@ -104,8 +104,10 @@ def index(data: np.ndarray, offsets: np.ndarray) -> Index:
         new[1:] = np.diff(slash) > 1
         run = np.cumsum(new) - 1
         size = np.bincount(run)
-        after = slash[np.flatnonzero(new)] + size
-        after = after[(size % 2 == 1) & (after < len(data))]
+        first = slash[np.flatnonzero(new)]
+        ends = offsets[np.searchsorted(offsets, first, "right")]  # a text cut behind a backslash escapes nothing in the next one
+        after = first + size
+        after = after[(size % 2 == 1) & (after < ends)]
         quote[after] = False
         # what an escape may stand before: one of a few marks, or u and four hexadecimal digits
         follows = np.zeros((len(after), 5), np.uint8)

@@ -56,6 +56,14 @@ def test_broken_texts_are_unreadable(value, data):
     assert bool(ix.readable[0]) == fine, broken
 
 
+def test_a_cut_escape_does_not_reach_into_the_next_text():
+    good = b'{"authors": [{"affiliations": ["A", "B\\"c"]}]}'
+    for cut in (b'{"a": "b\\', b'{"a": "\\', b"\\", b'{"a": "b\\\\\\'):
+        raw = [good, cut, good, cut, b'"' + good.replace(b"\\", b"\\\\").replace(b'"', b'\\"') + b'"', good]
+        ix = nested.index(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        assert sorted(set(ix.record.tolist())) == [0, 2, 4, 5]
+
+
 def test_linked_rows(spark):
     rows = [
         (1, json.dumps({"authorships": [{"institutions": [None, {"display_name": "A"}, {"display_name": ""}]}, {"institutions": {"display_name": "B\n\"é"}}]})),
