@@ -25,8 +25,6 @@ from folioweave.session import materialise
 
 # Days since 1970 to the day ages count from, 2020-01-01.
 _DAY = 18_262.0
-# White space and punctuation in which equal abstracts may differ.
-_SPACING = " \t\n\r.,;:()[]-"
 
 
 def trust(preferred: tuple[str, ...]) -> dict[str, float]:
@@ -79,12 +77,12 @@ def survivors(copies: DataFrame, fields: list[Field], set_id: str = "set_id", re
 def found(papers: DataFrame) -> DataFrame:
     """(group_id, abstract_id, citations_id, doi, sources) for each set of two copies or more.
 
-    Copies vote for the letters of their abstract if it is whole and genuine, for their count of citations and for their DOI;
+    Copies vote for their abstract, in whatever case, if it is whole and genuine, for their count of citations and for their DOI;
     for the first two the latest moment counts, as the query defines it.  The sources are a union.
     """
     sets = materialise(exact.members(papers))
     verdicts = materialise(truncation.judged(papers, "abstract", "paper_id", "source").filter("reason IS NOT NULL").select("id", F.lit(True).alias("cut")))
-    letters = F.md5(F.translate(F.lower("abstract"), _SPACING, ""))
+    letters = F.md5(F.lower(F.trim("abstract")))
     slim = papers.select(F.col("paper_id").alias("id"), "source", "fetched_at", doi_key(F.col("doi")).alias("doi_bare"), F.when(~is_filler(F.col("abstract")), letters).alias("letters"), F.when(F.col("citations_count") >= 0, F.col("citations_count")).alias("count"))
     copies = sets.join(slim, "id").join(verdicts, "id", "left")
     names = F.transform(F.split(F.coalesce("source", F.lit("")), ","), lambda s: F.trim(s))

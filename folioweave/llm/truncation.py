@@ -98,7 +98,9 @@ def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words
         "id", "source", "len", stopped.alias("stopped"), complete.alias("complete"), (F.col("remains") | F.col("c").rlike(r"^[\[(]?(?:…|\.\.\.)")).alias("seen"),
         F.array_join(_words(F.concat(F.left("c", F.length("c") - _TAIL), F.col("end"))), " ").alias("s"),
     )
-    head = materialise(head.withColumn("long", F.size(F.split("s", " ", least_words + 1)) > least_words))
+    count = lambda mark: F.length("s") - F.length(F.replace("s", F.lit(mark), F.lit("")))
+    head = head.withColumn("ends", count("|") - 1).withColumn("places", count(" "))
+    head = materialise(head.withColumn("long", F.col("places") >= least_words))
     w = head.filter("long").withColumn("w", F.split("s", " "))
 
     # every position of every text, in each of its contexts
@@ -118,9 +120,11 @@ def judged(texts: DataFrame, text: str, record_id: str, source: str, least_words
     share = F.when(F.col("level") < 3, terminal_share).otherwise(word_share)  # trigram, pair, place
     told = F.col("ended") < share * F.col("total")
     told = F.when(F.col("level") == 2, F.when(told, True)).otherwise(told)  # where sentences may end, a place says nothing
-    levels = ("trigram", "pair", "place", "word", "behind", "rate")
+    levels = ("trigram", "pair", "place", "word", "behind")
     met = skew_safe_left_join(asked, counts, "k", F.xxhash64("id", "level"), "size").withColumn("told", told)
     met = met.groupBy("id").agg(*(F.max(F.when(F.col("level") == n, F.col("told"))).alias(c) for n, c in enumerate(levels)))
+    ends, places = head.filter("long").agg(F.sum("ends"), F.sum("places")).first()  # how often any word ends a sentence
+    met = met.withColumn("rate", F.lit((ends or 0) < word_share * (places or 1)))
     met = met.join(_stems(w, opened, terminal_share, least_seen), "id", "left")
     first = F.coalesce(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("level"), F.col(c).alias("cut"))) for c in LEVELS))
     met = met.select("id", first.alias("told"))
@@ -140,7 +144,7 @@ def _contexts(i: Column) -> Column:
     """Hashes of the contexts of the word of ``w`` at position ``i`` (from 1); places before the start count as empty."""
     back = lambda n: F.when(i > n, F.get("w", i - 1 - n)).otherwise("")
     none = F.lit("")
-    return F.array(F.xxhash64(back(2), back(1), back(0)), F.xxhash64(back(1), back(0)), F.xxhash64(F.lit("place"), back(2), back(1), none), F.xxhash64(back(0)), F.xxhash64(F.lit("behind"), back(1), none, none), F.lit(0).cast("long"))
+    return F.array(F.xxhash64(back(2), back(1), back(0)), F.xxhash64(back(1), back(0)), F.xxhash64(F.lit("place"), back(2), back(1), none), F.xxhash64(back(0)), F.xxhash64(F.lit("behind"), back(1), none, none))
 
 
 def _stems(w: DataFrame, opened: DataFrame, share: float, least_seen: int, longest: int = 40) -> DataFrame:
