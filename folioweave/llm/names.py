@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioweave.operators.components import connected_components
-from folioweave.operators.joins import skew_safe_left_join
+from folioweave.operators.joins import shuffled, skew_safe_left_join
 from folioweave.operators.nested import PAPER_ORGANISATIONS, linked_rows
 from folioweave.session import materialise
 
@@ -267,21 +267,21 @@ def resolve_organisations(names: DataFrame, addresses: DataFrame | None = None,
     keyed = materialise(_flat_map(nodes, lambda n, k, p: [(k + b, n, p) for b in _place_blocks(p)], "block string, node string, place string"))
     other = keyed.select("block", F.col("node").alias("node_b"), F.col("place").alias("place_b"))
     close = F.abs(F.length("place") - F.length("place_b")) <= (1 - least) * (F.length("place") + F.length("place_b"))  # beyond it no ratio reaches least
-    pairs = keyed.join(other, "block").filter((F.col("node") < F.col("node_b")) & close).select("node", "place", "node_b", "place_b").distinct()
+    pairs = keyed.join(shuffled(other), "block").filter((F.col("node") < F.col("node_b")) & close).select("node", "place", "node_b", "place_b").distinct()
     edges = _flat_map(pairs, lambda n, p, m, q: [(n, m)] if ratio(p, q) >= least else [], "a string, b string")
     if addresses is not None:
         host = F.regexp_extract(F.lower("address"), r"^(?:https?://)?(?:www\.)?([^/]+)", 1)
-        sites = addresses.filter("address IS NOT NULL").select("name", host.alias("host")).filter("host <> ''").join(parsed, "name")
+        sites = addresses.filter("address IS NOT NULL").select("name", host.alias("host")).filter("host <> ''").join(shuffled(parsed), "name")
         edges = edges.unionByName(sites.select(F.col("node").alias("a"), F.concat(F.lit("~"), "kind", F.lit("|"), "host").alias("b")).distinct())
     parts = connected_components(edges)
-    return parsed.join(parts, "node", "left").select("name", F.coalesce("component", "node").alias("org"))
+    return parsed.join(shuffled(parts), "node", "left").select("name", F.coalesce("component", "node").alias("org"))
 
 
 def institution_pairs(institutions: DataFrame, orgs: DataFrame) -> DataFrame:
     """(first_id, second_id) of each two institutions that are one organisation."""
-    rows = institutions.select("institution_id", "name").join(orgs, "name").select("org", F.col("institution_id").alias("i"))
+    rows = institutions.select("institution_id", "name").join(shuffled(orgs), "name").select("org", F.col("institution_id").alias("i"))
     other = rows.select("org", F.col("i").alias("j"))
-    return rows.join(other, "org").filter("i < j").select(F.col("i").alias("first_id"), F.col("j").alias("second_id"))
+    return rows.join(shuffled(other), "org").filter("i < j").select(F.col("i").alias("first_id"), F.col("j").alias("second_id"))
 
 
 def shapes(table: DataFrame, name: str) -> DataFrame:
@@ -308,22 +308,22 @@ def persons(authors: DataFrame, orgs: DataFrame) -> DataFrame:
     orcid = F.nullif(F.regexp_extract(F.regexp_replace("orcid", r"[\s-]", ""), r"(\d{15}[\dXx])", 1), F.lit(""))
     shaped = materialise(shapes(authors.filter("author_id IS NOT NULL"), "name").select("author_id", "shape", orcid.alias("orcid"), "affiliations"))
     rows = shaped.select("author_id", "shape", "orcid", F.explode_outer("affiliations").alias("affiliation"))
-    rows = rows.join(orgs.withColumnRenamed("name", "affiliation"), "affiliation", "left").select("author_id", "shape", "orcid", "org").distinct()
+    rows = rows.join(shuffled(orgs.withColumnRenamed("name", "affiliation")), "affiliation", "left").select("author_id", "shape", "orcid", "org").distinct()
     keyed = materialise(_flat_map(rows, keys, "block string, author_id long, shape string").distinct())
     # rows of one block and one spelling are linked to the first of them; different spellings are compared once
     spelt = keyed.groupBy("block", "shape").agg(F.min("author_id").alias("lead"))
-    same = keyed.join(spelt, ["block", "shape"]).select(F.col("author_id").alias("a"), F.col("lead").alias("b"))
+    same = keyed.join(shuffled(spelt), ["block", "shape"]).select(F.col("author_id").alias("a"), F.col("lead").alias("b"))
     other = spelt.select("block", F.col("shape").alias("shape_b"), F.col("lead").alias("lead_b"))
-    pairs = spelt.join(other, "block").filter("shape < shape_b").select("lead", "shape", "lead_b", "shape_b").distinct()
+    pairs = spelt.join(shuffled(other), "block").filter("shape < shape_b").select("lead", "shape", "lead_b", "shape_b").distinct()
     edges = _flat_map(pairs, lambda i, x, j, y: [(i, j)] if form_fit(x, y) else [], "a long, b long")
     parts = connected_components(edges.unionByName(same.filter("a <> b")))
-    return shaped.select("author_id", "shape").distinct().join(parts.select(F.col("node").alias("author_id"), "component"), "author_id", "left").select("author_id", "shape", F.coalesce("component", "author_id").alias("person"))
+    return shaped.select("author_id", "shape").distinct().join(shuffled(parts.select(F.col("node").alias("author_id"), "component")), "author_id", "left").select("author_id", "shape", F.coalesce("component", "author_id").alias("person"))
 
 
 def author_pairs(people: DataFrame) -> DataFrame:
     """(first_id, second_id) of each two author rows that are one person."""
     rows = people.select("person", F.col("author_id").alias("i"))
-    return rows.join(people.select("person", F.col("author_id").alias("j")), "person").filter("i < j").select(F.col("i").alias("first_id"), F.col("j").alias("second_id"))
+    return rows.join(shuffled(people.select("person", F.col("author_id").alias("j"))), "person").filter("i < j").select(F.col("i").alias("first_id"), F.col("j").alias("second_id"))
 
 
 def _whole_keys(shape: str) -> set[str]:
@@ -339,7 +339,7 @@ def _fits(mentioned: DataFrame, variants: DataFrame, keys) -> DataFrame:
     def keyed(d: DataFrame, name: str) -> DataFrame:
         return _flat_map(d.select("shape"), lambda n: [(k, n) for k in keys(n)], f"block string, {name} string").select(F.xxhash64("block").alias("block"), name)
 
-    pairs = keyed(mentioned, "shape").join(keyed(variants, "variant"), "block").select("shape", "variant").distinct()
+    pairs = keyed(mentioned, "shape").join(shuffled(keyed(variants, "variant")), "block").select("shape", "variant").distinct()
     return _flat_map(pairs, lambda n, v: [(n, v, f)] if (f := form_fit(n, v)) else [], "shape string, variant string, fit double")
 
 
@@ -355,19 +355,19 @@ def paper_people(papers: DataFrame, authors: DataFrame, people: DataFrame, orgs:
     spelt = materialise(people.groupBy(F.col("shape").alias("variant"), "person").agg(F.count("*").alias("rows")))
     variants = spelt.select(F.col("variant").alias("shape")).distinct()
     whole = materialise(_fits(mentioned, variants, _whole_keys))
-    others = mentioned.join(whole.select("shape"), "shape", "left_anti")
-    found = whole.unionByName(_fits(others, variants, _suffix_keys)).join(spelt, "variant")
+    others = mentioned.join(shuffled(whole.select("shape")), "shape", "left_anti")
+    found = whole.unionByName(_fits(others, variants, _suffix_keys)).join(shuffled(spelt), "variant")
     fits = materialise(found.groupBy("shape", "person").agg(F.max("fit").alias("fit"), F.sum("rows").alias("rows")))
     best = fits.groupBy("shape").agg(F.max_by("person", F.struct("fit", "rows", -F.col("person"))).alias("person"), F.max("fit").alias("top"), F.count("*").alias("persons"))
     best = materialise(best.select(F.xxhash64("shape").alias("h"), "shape", "person", "top", "persons"))
-    borne = materialise(mentions.select("paper_id", "pos", F.xxhash64("shape").alias("h")).join(best.select("h", "person", "persons"), "h"))
+    borne = materialise(mentions.select("paper_id", "pos", F.xxhash64("shape").alias("h")).join(shuffled(best.select("h", "person", "persons")), "h"))
     # where a form fits several persons, organisations in the payload decide
-    several = fits.join(best.filter("persons > 1").select("shape", "top", "h"), "shape").filter("fit >= top - 1").select("h", F.col("person").alias("own"), "fit", "rows")
-    homes = authors.select("author_id", F.explode("affiliations").alias("name")).join(orgs, "name").join(people.select("author_id", "person"), "author_id").select(F.col("person").alias("own"), F.xxhash64("org").alias("org")).distinct()
-    told = several.join(homes, "own").groupBy("h", "org").agg(F.max_by("own", F.struct("fit", "rows", -F.col("own"))).alias("own"), F.max("fit").alias("fit"))
-    where = said.join(orgs, "name").select("paper_id", "pos", F.xxhash64("org").alias("org"))
+    several = fits.join(shuffled(best.filter("persons > 1").select("shape", "top", "h")), "shape").filter("fit >= top - 1").select("h", F.col("person").alias("own"), "fit", "rows")
+    homes = authors.select("author_id", F.explode("affiliations").alias("name")).join(shuffled(orgs), "name").join(shuffled(people.select("author_id", "person")), "author_id").select(F.col("person").alias("own"), F.xxhash64("org").alias("org")).distinct()
+    told = several.join(shuffled(homes), "own").groupBy("h", "org").agg(F.max_by("own", F.struct("fit", "rows", -F.col("own"))).alias("own"), F.max("fit").alias("fit"))
+    where = said.join(shuffled(orgs), "name").select("paper_id", "pos", F.xxhash64("org").alias("org"))
     open_ = borne.filter("persons > 1").select("paper_id", "pos", "h", "person")
-    helped = open_.join(where, ["paper_id", "pos"], "left").join(told, ["h", "org"], "left")
+    helped = open_.join(shuffled(where), ["paper_id", "pos"], "left").join(shuffled(told), ["h", "org"], "left")
     helped = helped.groupBy("paper_id", "pos", "h", "person").agg(F.max_by("own", F.struct("fit", -F.col("own"))).alias("own"))
     chosen = helped.select("paper_id", F.coalesce("own", "person").alias("person"))
     return borne.filter("persons = 1").select("paper_id", "person").unionByName(chosen).distinct()
@@ -376,10 +376,10 @@ def paper_people(papers: DataFrame, authors: DataFrame, people: DataFrame, orgs:
 def entities(authors: DataFrame, institutions: DataFrame, papers: DataFrame) -> DataFrame:
     """(kind, id, entity, members): each institution and author row with the smallest id of its entity and the entity's number of rows."""
     orgs, people, _ = resolved(papers, authors, institutions)
-    rows = institutions.select("institution_id", "name").join(orgs, "name").select(F.lit("institution").alias("kind"), F.col("institution_id").alias("id"), F.col("org").alias("key"))
+    rows = institutions.select("institution_id", "name").join(shuffled(orgs), "name").select(F.lit("institution").alias("kind"), F.col("institution_id").alias("id"), F.col("org").alias("key"))
     rows = materialise(rows.unionByName(people.select(F.lit("author").alias("kind"), F.col("author_id").alias("id"), F.col("person").cast("string").alias("key")).distinct()))
     told = rows.groupBy("kind", "key").agg(F.min("id").alias("entity"), F.count("*").alias("members"))
-    joined = skew_safe_left_join(rows.withColumn("key", F.concat_ws("|", "kind", "key")), told.select(F.concat_ws("|", "kind", "key").alias("key"), "entity", "members", F.col("members").alias("size")), "key", F.xxhash64("kind", "id"), "size")
+    joined = skew_safe_left_join(rows.withColumn("key", F.concat_ws("|", "kind", "key")), shuffled(told.select(F.concat_ws("|", "kind", "key").alias("key"), "entity", "members", F.col("members").alias("size"))), "key", F.xxhash64("kind", "id"), "size")
     return joined.select("kind", "id", "entity", "members")
 
 

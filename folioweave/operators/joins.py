@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join whose two sides meet by a shuffle, whatever size the optimiser believes them to have.
+
+    It goes by the compressed size of the files below and doesn't see that a Python function
+    makes many rows of one, so what it broadcasts may be a hundred times its threshold, all of
+    it held by the driver.
+    """
+    return df.hint("merge")
+
+
 def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, unique: Column, size: str, top: int = 1000) -> DataFrame:
     """Left join of ``rows`` with ``groups``, one row per ``key``, that no hot key can slow down.
 
